@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bytelake.llm import chat, exact, mixing, packing, quality
+from bytelake.llm import chat, exact, fingerprint, mixing, packing, quality, sharding
 
 UP, LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -58,6 +58,34 @@ FROM c
 """
 
 
+def op5_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.fingerprint_documents(table(spark, sf_dir, "documents"))
+
+
+#: Bytes of text that a shard may hold.
+SHARD_BYTES = 1 << 20
+
+
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.extendible_shards(table(spark, sf_dir, "documents"), limit=SHARD_BYTES)
+
+
+OP6_SQL = f"""
+WITH d AS (
+  SELECT doc_id, CAST(strlen(coalesce(text, '')) AS BIGINT) AS bytes,
+         CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || coalesce(text, '')), 1, 15) AS BIGINT) AS h
+  FROM documents),
+n AS (
+  SELECT d.*, depth, sum(bytes) OVER p AS node, min(h) OVER p = max(h) OVER p AS alone, count(*) OVER p AS docs
+  FROM d, range(0, 61) r(depth)
+  WINDOW p AS (PARTITION BY depth, h >> (60 - depth))),
+f AS (SELECT doc_id, h, min(depth) AS depth FROM n WHERE node <= {SHARD_BYTES} OR alone GROUP BY doc_id, h)
+SELECT doc_id, bytes, CASE WHEN depth = 0 THEN '' ELSE lpad(bin(h >> (60 - depth)), CAST(depth AS INT), '0') END AS shard,
+       CAST(depth AS INT) AS depth, CAST(node AS BIGINT) AS shard_bytes, docs AS shard_docs
+FROM f JOIN n USING (doc_id, h, depth)
+"""
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.content_sort_dedup(table(spark, sf_dir, "documents"), keep="max")
 
@@ -101,8 +129,8 @@ FROM e GROUP BY conv_id
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op2_quality, op3_mixing, op9_exact_dedup, op10_chat_format)}
+    return {f.__name__: f for f in (op1_packing, op2_quality, op3_mixing, op5_fingerprint, op6_sharding, op9_exact_dedup, op10_chat_format)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_mixing": OP3_SQL, "op9_exact_dedup": OP9_SQL, "op10_chat_format": OP10_SQL}
+    return {"op3_mixing": OP3_SQL, "op6_sharding": OP6_SQL, "op9_exact_dedup": OP9_SQL, "op10_chat_format": OP10_SQL}
