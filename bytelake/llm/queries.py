@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bytelake.llm import chat, exact, fingerprint, mixing, packing, quality, sharding
+from bytelake.llm import chat, exact, fingerprint, mixing, packing, pii, quality, sharding
 
 UP, LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -86,6 +86,16 @@ FROM f JOIN n USING (doc_id, h, depth)
 """
 
 
+def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spans = pii.find_personal_data(table(spark, sf_dir, "documents"))
+    base = {k: F.col(f"base_{k}") for k in pii.KINDS}
+    every = {k: F.array_sort(F.concat(f"base_{k}", f"more_{k}")) for k in pii.KINDS}
+    return spans.select(
+        "doc_id", *[F.size(c).cast("long").alias(f"n_{k}") for k, c in base.items()], F.sha2(pii.listed(base), 256).alias("base_sha256"), pii.listed(every).alias("spans"),
+        *[F.size(f"more_{k}").cast("long").alias(f"more_{k}") for k in pii.KINDS],
+    )
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.content_sort_dedup(table(spark, sf_dir, "documents"), keep="max")
 
@@ -129,7 +139,7 @@ FROM e GROUP BY conv_id
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op2_quality, op3_mixing, op5_fingerprint, op6_sharding, op9_exact_dedup, op10_chat_format)}
+    return {f.__name__: f for f in (op1_packing, op2_quality, op3_mixing, op5_fingerprint, op6_sharding, op8_personal_data, op9_exact_dedup, op10_chat_format)}
 
 
 def oracle_sql() -> dict[str, str]:
