@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bytelake.llm import chat, exact, fingerprint, mixing, packing, pii, quality, sharding
+from bytelake.llm import chat, exact, fingerprint, jaccard, mixing, packing, pii, quality, sharding
 
 UP, LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -86,6 +86,10 @@ FROM f JOIN n USING (doc_id, h, depth)
 """
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.ngram_jaccard_join(table(spark, sf_dir, "documents"))[1].select("doc_id", "n_shingles", "component_id")
+
+
 def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     spans = pii.find_personal_data(table(spark, sf_dir, "documents"))
     base = {k: F.col(f"base_{k}") for k in pii.KINDS}
@@ -139,7 +143,7 @@ FROM e GROUP BY conv_id
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op2_quality, op3_mixing, op5_fingerprint, op6_sharding, op8_personal_data, op9_exact_dedup, op10_chat_format)}
+    return {f.__name__: f for f in (op1_packing, op2_quality, op3_mixing, op5_fingerprint, op6_sharding, op7_jaccard_join, op8_personal_data, op9_exact_dedup, op10_chat_format)}
 
 
 def oracle_sql() -> dict[str, str]:
