@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bytelake.llm import chat, exact, fingerprint, jaccard, mixing, packing, pii, quality, sharding
+from bytelake.llm import chat, exact, fingerprint, jaccard, mixing, packing, pii, quality, sharding, warc
 
 UP, LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -58,6 +58,38 @@ FROM c
 """
 
 
+def op4_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Audits a second replica of all pages with known damage: by id, some records altered, lost or added."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    altered = pages.where("page_id % 101 <> 7").withColumn("html", F.when(F.col("page_id") % 97 == 13, F.concat(F.lit("?"), F.col("html"))).otherwise(F.col("html")))
+    added = pages.where("page_id % 103 = 5").withColumn("page_id", -F.col("page_id"))
+    damaged = altered.unionByName(added)
+    digests = [warc.digest_table(warc.warc_records(p)) for p in (pages, damaged)]
+    return warc.fixity_audit(*digests).withColumnRenamed("id", "page_id")
+
+
+OP4_SQL = r"""
+WITH b AS (
+  SELECT page_id, url, html FROM (SELECT page_id, url, CASE WHEN page_id % 97 = 13 THEN '?' || html ELSE html END AS html FROM pages WHERE page_id % 101 <> 7)
+  UNION ALL SELECT -page_id, url, html FROM pages WHERE page_id % 103 = 5),
+r AS (
+  SELECT side, page_id, 'WARC/1.1' || e || 'WARC-Type: resource' || e || 'WARC-Record-ID: <urn:page:' || page_id || '>' || e
+         || 'WARC-Date: 1970-01-01T00:00:00Z' || e || 'WARC-Target-URI: ' || coalesce(url, '') || e || 'Content-Type: text/html' || e
+         || 'Content-Length: ' || strlen(coalesce(html, '')) || e || e || coalesce(html, '') || e || e AS record
+  FROM (SELECT 'l' AS side, * FROM (SELECT page_id, url, html FROM pages) UNION ALL SELECT 'r', * FROM b), (SELECT chr(13) || chr(10) AS e)),
+d AS (
+  SELECT side, page_id, CAST(floor(page_id / 1024.0) AS BIGINT) AS file, CAST(strlen(record) AS BIGINT) AS length, sha256(record) AS sha,
+         CAST(sum(strlen(record)) OVER (PARTITION BY side, floor(page_id / 1024.0) ORDER BY page_id ROWS UNBOUNDED PRECEDING) - strlen(record) AS BIGINT) AS "offset"
+  FROM r),
+j AS (
+  SELECT coalesce(l.page_id, r.page_id) AS page_id, CASE WHEN r.sha IS NULL THEN 'missing' WHEN l.sha IS NULL THEN 'extra' ELSE 'corrupt' END AS status,
+         coalesce(l.file, r.file) AS file, coalesce(l."offset", r."offset") AS "offset", coalesce(l.length, r.length) AS length,
+         l.sha AS left_sha, r.sha AS right_sha
+  FROM (SELECT * FROM d WHERE side = 'l') l FULL JOIN (SELECT * FROM d WHERE side = 'r') r ON l.page_id = r.page_id)
+SELECT * FROM j WHERE left_sha IS DISTINCT FROM right_sha
+"""
+
+
 def op5_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprint_documents(table(spark, sf_dir, "documents"))
 
@@ -143,8 +175,8 @@ FROM e GROUP BY conv_id
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op2_quality, op3_mixing, op5_fingerprint, op6_sharding, op7_jaccard_join, op8_personal_data, op9_exact_dedup, op10_chat_format)}
+    return {f.__name__: f for f in (op1_packing, op2_quality, op3_mixing, op4_fixity, op5_fingerprint, op6_sharding, op7_jaccard_join, op8_personal_data, op9_exact_dedup, op10_chat_format)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_mixing": OP3_SQL, "op6_sharding": OP6_SQL, "op9_exact_dedup": OP9_SQL, "op10_chat_format": OP10_SQL}
+    return {"op3_mixing": OP3_SQL, "op4_fixity": OP4_SQL, "op6_sharding": OP6_SQL, "op9_exact_dedup": OP9_SQL, "op10_chat_format": OP10_SQL}
