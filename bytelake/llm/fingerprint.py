@@ -52,21 +52,42 @@ def encode(sketch: Column) -> Column:
     return F.array_join(F.transform(sketch, lambda x: F.lower(F.hex(x))), " ")
 
 
-def next_ids(ids: DataFrame, ranges: int = 1024) -> DataFrame:
-    """(key, next_key) of distinct keys in ascending order, the last followed by the first.
+def grid(keys: DataFrame, rows: int, most: int = 1 << 16) -> tuple[DataFrame, float] | None:
+    """(g, cells) for at most 1026 equal ranges g of the key, each to be cut into that many cells, and the ranges' width.
 
-    Distributed lead(): a window inside each of about ``ranges`` ranges of the key, and one over the ranges' first keys, of
-    which there are at most ranges + 1.
+    Cells hold about ``rows`` keys; a range that is denser than others is cut finer. Together there are at most about
+    ``most`` cells.
     """
-    lo, hi = ids.agg(F.min("key"), F.max("key")).first()
-    if lo is None:
-        return ids.select("key", F.col("key").alias("next_key"))
-    width = float(max(1, -(-(hi - lo + 1) // ranges)))
-    dealt = ids.withColumn("range", F.floor(F.col("key") / F.lit(width)))
-    firsts = dealt.groupBy("range").agg(F.min("key").alias("first"))
-    firsts = firsts.select("range", F.coalesce(F.lead("first").over(Window.orderBy("range")), F.lit(lo)).alias("after"))
-    inside = F.lead("key").over(Window.partitionBy("range").orderBy("key"))
-    return dealt.withColumn("next_key", inside).join(F.broadcast(firsts), "range").select("key", F.coalesce("next_key", "after").alias("next_key"))
+    lo, hi, n = keys.agg(F.min("key"), F.max("key"), F.count("*")).first()
+    if not n:
+        return None
+    width = float(max(1, -(-(hi - lo + 1) // 1024)))
+    rows = max(rows, -(-n // most))
+    return keys.groupBy(F.floor(F.col("key") / width).cast("long").alias("g")).agg(F.ceil(F.count("*") / rows).cast("long").alias("cells")), width
+
+
+def with_next(docs: DataFrame, rows: int = 2048) -> DataFrame:
+    """Adds next_text to (key, doc_id, text): the text of the row after, by key then text, after the last the first.
+
+    Rows are dealt to cells, ordered ranges of the key, and lead() runs inside a cell; the first rows of a cell are
+    also dealt, as ghosts, to the end of the cell before. Cells number at most about 2 ** 16, so their list may be
+    broadcast. The texts are shuffled once.
+    """
+    made = grid(docs.select("key"), rows)
+    if made is None:
+        return docs.withColumn("next_text", F.lit(None).cast("string"))
+    ranges, width = made
+    place = docs.withColumn("g", F.floor(F.col("key") / width).cast("long")).join(F.broadcast(ranges), "g")
+    place = place.withColumn("h", F.least(F.col("cells") - 1, F.greatest(F.lit(0), F.floor((F.col("key") / width - F.col("g")) * F.col("cells")))).cast("long"))
+    cells = place.groupBy("g", "h").agg(F.min("key").alias("least"))
+    around = Window.orderBy("g", "h")
+    last = F.max(F.struct("g", "h")).over(Window.partitionBy())
+    cells = cells.withColumn("before", F.coalesce(F.lag(F.struct("g", "h")).over(around), last))
+    own = F.struct("g", "h", F.lit(0).alias("ghost"))
+    ghost = F.when(F.col("key") == F.col("least"), F.array(own, F.struct(F.col("before.g"), F.col("before.h"), F.lit(1).alias("ghost")))).otherwise(F.array(own))
+    dealt = place.join(F.broadcast(cells), ["g", "h"]).withColumn("at", F.explode(ghost)).select("key", "doc_id", "text", "at.*").repartition("g", "h")
+    follow = F.lead("text").over(Window.partitionBy("g", "h").orderBy("ghost", "key", "text"))
+    return dealt.withColumn("next_text", follow).where("ghost = 0").select("key", "doc_id", "text", "next_text")
 
 
 def fingerprint_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = 5, fraction: float = 1 / 8) -> DataFrame:
@@ -76,24 +97,19 @@ def fingerprint_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col:
     document, by ascending doc_id, after the last the first. Returns (doc_id, n_chars, edited_sha256, fingerprint,
     edited_fingerprint, near_edited, near_next, in_edited, in_next), one row for each input row.
 
-    Plan: sketches are made narrow, before any shuffle. Texts are shuffled once by identifier (both sides of the
-    second join read that one exchange), and of the next document only the half that is needed is sent on.
+    Plan: texts are shuffled once, to ranges of doc_id (with_next); sketches are made after it, narrow.
 
     Defined cases: null text is empty, its fingerprint the empty string; null identifiers stand before all others;
-    rows that repeat an identifier have the same next document, and as a next document the smallest of their texts
-    counts; a lone document is its own next; an empty table gives no rows. Other columns are not read.
+    rows that repeat an identifier follow each other by text; a lone document is its own next; an empty table gives no
+    rows. Other columns are not read.
     """
-    base = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(FIRST)).alias("key"), F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"))
-    ids = docs.groupBy(F.coalesce(F.col(id_col).cast("long"), F.lit(FIRST)).alias("key")).agg(F.coalesce(F.max(F.length(text_col)), F.lit(0)).alias("most"))
-    follows = next_ids(ids.select("key")).join(ids, "key").select(F.col("key").alias("for_key"), F.col("next_key").alias("key"), "most")
-    base = with_sketch(base, F.col("text"), "sketch", k=k, fraction=fraction)
-    one = base.withColumn("nth", F.row_number().over(Window.partitionBy("key").orderBy("text"))).where("nth = 1")
-    given = one.join(follows, "key").select(F.col("for_key").alias("key"), F.substring(F.col("text"), F.lit(1), F.floor(F.col("most") / 2).cast("int")).alias("given"), F.col("sketch").alias("next_sketch"))
-    both = base.join(given, "key").withColumn("n", F.length("text")).withColumn("half", F.floor(F.col("n") / 2).cast("int"))
-    edited = both.withColumn("edited", F.concat(F.substring(F.col("text"), F.lit(1), F.col("n") - F.col("half")), F.substring(F.col("given"), F.lit(1), F.col("half"))))
-    edited = with_sketch(edited, F.col("edited"), "edited_sketch", k=k, fraction=fraction)
-    a, b, c = F.col("sketch"), F.col("edited_sketch"), F.col("next_sketch")
-    return edited.select(
+    rows = with_next(docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(FIRST)).alias("key"), F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text")))
+    sketch = lambda df, name: with_sketch(df, F.col(name), f"{name}_sketch", k=k, fraction=fraction)
+    both = rows.withColumn("n", F.length("text")).withColumn("half", F.floor(F.col("n") / 2).cast("int"))
+    both = both.withColumn("edited", F.concat(F.substring(F.col("text"), F.lit(1), F.col("n") - F.col("half")), F.substring(F.col("next_text"), F.lit(1), F.col("half"))))
+    both = sketch(sketch(sketch(both, "text"), "edited"), "next_text")
+    a, b, c = F.col("text_sketch"), F.col("edited_sketch"), F.col("next_text_sketch")
+    return both.select(
         "doc_id", F.col("n").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), encode(a).alias("fingerprint"), encode(b).alias("edited_fingerprint"),
         likeness(a, b).alias("near_edited"), likeness(a, c).alias("near_next"), containment(a, b).alias("in_edited"), containment(a, c).alias("in_next"),
     )
