@@ -49,9 +49,9 @@ def page_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # SQL fragments. Bytes of a text as a list of integers; CRC-32 by its table, which is built by rule.
-LIST = "list_transform(regexp_extract_all(hex(encode({})), '..'), x -> CAST('0x' || x AS BIGINT))"
-CRC_TABLE = "(SELECT list_transform(range(256), x -> list_reduce(list_prepend(x, range(8)), (c, k) -> CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS tbl)"
-CRC = "xor(list_reduce(list_prepend(4294967295, {}), (c, b) -> xor(c >> 8, tbl[(xor(c, b) & 255) + 1])), 4294967295)"
+LIST = "list_transform(regexp_extract_all(hex(encode({})), '..'), lambda x: CAST('0x' || x AS BIGINT))"
+CRC_TABLE = "(SELECT list_transform(range(256), lambda x: list_reduce(list_prepend(x, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS tbl)"
+CRC = "xor(list_reduce(list_prepend(4294967295, {}), lambda c, b: xor(c >> 8, tbl[(xor(c, b) & 255) + 1])), 4294967295)"
 U = "(CASE WHEN {0} < 128 THEN 1 WHEN {0} < 16384 THEN 2 WHEN {0} < 2097152 THEN 3 WHEN {0} < 268435456 THEN 4 WHEN {0} < 34359738368 THEN 5 ELSE 6 END)"
 PL = "pl AS (SELECT n.page_id AS pair_id, coalesce(o.html, '') AS old, coalesce(n.html, '') AS new FROM pages n JOIN pages o ON o.page_id = n.page_id - 1)"
 #: One row for each place that both images have, with both bytes as two hex digits.
@@ -121,7 +121,7 @@ WITH v AS (SELECT o_orderkey, o_orderkey * o_orderkey * 31 AS v FROM orders)
 SELECT o_orderkey, v, v AS again,
        CASE WHEN v < 128 THEN printf('%02X', v)
             ELSE array_to_string(list_transform(range(CAST(ceil(len(ltrim(bin(v), '0')) / 7.0) AS BIGINT)),
-                 k -> printf('%02X', CASE WHEN (v >> CAST(7 * (k + 1) AS BIGINT)) > 0 THEN ((v >> CAST(7 * k AS BIGINT)) & 127) + 128 ELSE (v >> CAST(7 * k AS BIGINT)) & 127 END)), '') END AS digits
+                 lambda k: printf('%02X', CASE WHEN (v >> CAST(7 * (k + 1) AS BIGINT)) > 0 THEN ((v >> CAST(7 * k AS BIGINT)) & 127) + 128 ELSE (v >> CAST(7 * k AS BIGINT)) & 127 END)), '') END AS digits
 FROM v
 """)
 def q_uleb_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -143,10 +143,9 @@ def q_branch_predicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH h AS (SELECT doc_id AS image_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
-w AS (SELECT image_id, h, unnest(range(greatest(0, len(h) // 8))) AS k FROM h)
-SELECT image_id, count(*) AS words, CAST(sum(CAST('0x' || substr(h, 8 * k + 1, 8) AS BIGINT)) AS BIGINT) AS sum_be,
-       CAST(sum(CAST('0x' || substr(h, 8 * k + 7, 2) || substr(h, 8 * k + 5, 2) || substr(h, 8 * k + 3, 2) || substr(h, 8 * k + 1, 2) AS BIGINT)) AS BIGINT) AS sum_le
+WITH w AS (SELECT doc_id AS image_id, unnest(regexp_extract_all(hex(encode(coalesce(text, ''))), '.{8}')) AS w FROM documents)
+SELECT image_id, count(*) AS words, CAST(sum(CAST('0x' || w AS BIGINT)) AS BIGINT) AS sum_be,
+       CAST(sum(CAST('0x' || substr(w, 7, 2) || substr(w, 5, 2) || substr(w, 3, 2) || substr(w, 1, 2) AS BIGINT)) AS BIGINT) AS sum_le
 FROM w GROUP BY image_id
 """)
 def q_word_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -240,7 +239,7 @@ def q_diff_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
 WITH {CHANGES}, z AS (SELECT pair_id, count(*) AS size, sum(CASE WHEN nb = ob THEN 1 ELSE 0 END) AS same FROM p GROUP BY pair_id),
 d AS (SELECT pair_id, len, off - lag(off, 1, 0) OVER (PARTITION BY pair_id ORDER BY off) AS delta FROM r),
 e AS (SELECT pair_id, count(*) AS k, sum(len) AS bytes, sum({U.format("delta")}) AS ud, sum({U.format("len")}) AS ul, min(len) AS lo, max(len) AS hi FROM d GROUP BY pair_id),
-c AS (
+cc AS (
   SELECT pair_id, 1 + {U.format("size")} + size AS add_cost, 1 + 1 + {U.format("size")} + CAST(trunc(size * (1 - (same / size) * 0.8::DOUBLE)) AS BIGINT) AS diff_cost,
          CASE WHEN k IS NOT NULL THEN 1 + 1 + {U.format("size")} + {U.format("k")} + ud + ul + bytes END AS patch_cost,
          CASE WHEN lo = hi THEN 1 + 1 + {U.format("size")} + {U.format("k")} + {U.format("lo")} + ud + bytes END AS compact_cost, k
@@ -249,7 +248,7 @@ SELECT pair_id, CAST(add_cost AS BIGINT) AS add_cost, CAST(diff_cost AS BIGINT)
        CASE WHEN k IS NULL THEN 'COPY' WHEN add_cost <= least(diff_cost, coalesce(patch_cost, add_cost), coalesce(compact_cost, add_cost)) THEN 'ADD'
             WHEN diff_cost <= least(coalesce(patch_cost, diff_cost), coalesce(compact_cost, diff_cost)) THEN 'DIFF'
             WHEN patch_cost <= coalesce(compact_cost, patch_cost) THEN 'PATCH' ELSE 'PATCH_COMPACT' END AS best
-FROM c
+FROM cc
 """)
 def q_patch_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
     def kernel(o: bytes, n: bytes) -> list[tuple]:
@@ -374,8 +373,8 @@ def q_match_region_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH s AS (SELECT p_partkey, p_name, unnest(range(length(p_name))) AS at FROM part)
-SELECT p_partkey, string_agg(CAST(at AS VARCHAR), ',' ORDER BY substr(p_name, CAST(at AS INT) + 1)) AS suffixes FROM s GROUP BY p_partkey
+WITH s AS (SELECT p_partkey, p_name, unnest(range(length(p_name))) AS spot FROM part)
+SELECT p_partkey, string_agg(CAST(spot AS VARCHAR), ',' ORDER BY substr(p_name, CAST(spot AS INT) + 1)) AS suffixes FROM s GROUP BY p_partkey
 """)
 def q_suffix_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part").select("p_partkey", B.image("p_name").alias("bytes"))
@@ -507,11 +506,11 @@ def q_symbol_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH s AS (SELECT l_orderkey AS pair_id, l_linenumber AS section_index, l_partkey AS o_off, l_suppkey AS n_off, CAST(l_quantity AS BIGINT) * 20 AS o_size, CAST(l_quantity AS BIGINT) * 30 AS n_size FROM lineitem)
+WITH s AS (SELECT l_orderkey AS pair_id, l_linenumber AS section_index, max(l_partkey) AS o_off, max(l_suppkey) AS n_off, CAST(max(l_quantity) AS BIGINT) * 20 AS o_size, CAST(max(l_quantity) AS BIGINT) * 30 AS n_size FROM lineitem GROUP BY 1, 2)
 SELECT pair_id, CAST(section_index AS INT) AS section_index, n_off, o_off, least(n_size, 900 - n_off, o_size, 1500 - o_off) AS size FROM s WHERE least(n_size, 900 - n_off, o_size, 1500 - o_off) > 0
 """)
 def q_section_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("pair_id"), F.col("l_linenumber").alias("section_index"), "l_partkey", "l_suppkey", F.col("l_quantity").cast("long").alias("q"))
+    rows = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("pair_id"), F.col("l_linenumber").alias("section_index")).agg(F.max("l_partkey").alias("l_partkey"), F.max("l_suppkey").alias("l_suppkey"), F.max("l_quantity").cast("long").alias("q"))
     old = rows.select("pair_id", "section_index", F.col("l_partkey").alias("off"), (F.col("q") * 20).alias("size"), F.lit(1500).alias("image_len"))
     new = rows.select("pair_id", "section_index", F.col("l_suppkey").alias("off"), (F.col("q") * 30).alias("size"), F.lit(900).alias("image_len"))
     return pairing.pair_sections(old, new)
@@ -595,14 +594,14 @@ def q_merged_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH RECURSIVE s AS (SELECT l_suppkey AS pair_id, l_orderkey * 8 AS n_off, CAST(l_quantity AS BIGINT) AS size, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber) AS k, l_linenumber FROM lineitem WHERE l_linenumber = 1),
+WITH s AS (SELECT l_suppkey AS pair_id, l_orderkey * 8 AS n_off, CAST(max(l_quantity) AS BIGINT) AS size FROM lineitem GROUP BY 1, 2),
 r AS (SELECT pair_id, n_off, size, lag(n_off + size) OVER (PARTITION BY pair_id ORDER BY n_off) AS before FROM s),
 g AS (SELECT *, sum(CASE WHEN before IS NULL OR n_off - before < 0 OR n_off - before > 64 THEN 1 ELSE 0 END) OVER (PARTITION BY pair_id ORDER BY n_off) AS g FROM r)
 SELECT pair_id, CAST(min(n_off) AS BIGINT) AS n_off, CAST(max_by(n_off + size, n_off) - min(n_off) AS BIGINT) AS size FROM g GROUP BY pair_id, g
 """)
 def q_merge_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Regions at one offset in two equal images merge over gaps of at most 64 bytes."""
-    rows = table(spark, sf_dir, "lineitem").where("l_linenumber = 1").select(F.col("l_suppkey").alias("pair_id"), (F.col("l_orderkey") * 8).alias("off"), F.col("l_quantity").cast("long").alias("size"))
+    rows = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("pair_id"), (F.col("l_orderkey") * 8).alias("off")).agg(F.max("l_quantity").cast("long").alias("size"))
     by = Window.partitionBy("pair_id").orderBy("off")
     gap = F.col("off") - F.lag(F.col("off") + F.col("size")).over(by)
     marked = rows.withColumn("first", (gap.isNull() | ~gap.between(0, 64)).cast("int")).withColumn("g", F.sum("first").over(by))
