@@ -43,7 +43,7 @@ def fold_events(events: DataFrame) -> DataFrame:
     e = (
         events.select("conv_id", "seq", op.alias("op"), F.coalesce("role", F.lit("")).alias("role"), text.alias("text"), "target")
         .withColumn("nth", F.row_number().over(log))
-        .withColumn("open", F.sum(starts).over(log) - 1)
+        .withColumn("open", F.sum(starts).over(log.rowsBetween(Window.unboundedPreceding, 0)) - 1)
         .withColumn("msg", F.when(F.col("op") == "edit", F.coalesce("target", "open")).otherwise(F.col("open")).cast("long"))
         .where("msg >= 0")
     )

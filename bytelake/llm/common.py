@@ -32,6 +32,12 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def named(column: str, prefix: str = "") -> Column:
+    """A column by its name, whatever characters are in it."""
+    quoted = column.replace("`", "``")
+    return F.col(f"{prefix}`{quoted}`")
+
+
 def text_or_empty(text: str | Column) -> Column:
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
 

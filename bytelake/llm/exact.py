@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from bytelake.llm.common import fold_ascii, text_or_empty
+from bytelake.llm.common import fold_ascii, named, text_or_empty
 
 
 def content_sort_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", keep: str = "min", carry: list[str] | None = None, block_rows: int = 1000) -> DataFrame:
@@ -29,7 +29,7 @@ def content_sort_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     best, order = {"min": (F.min, F.asc_nulls_last), "max": (F.max, F.desc_nulls_last)}[keep]
     text = text_or_empty(text_col)
     rows = docs.select(
-        F.col(id_col).alias("doc_id"), text.alias("text"), *([F.struct(*[F.col(c) for c in carry if c != text_col]).alias("rest")] if carry else []), *([F.col(text_col).isNull().alias("void")] if carry else [])
+        F.col(id_col).alias("doc_id"), text.alias("text"), *([F.struct(*[named(c) for c in carry if c != text_col]).alias("rest")] if carry else []), *([F.col(text_col).isNull().alias("void")] if carry else [])
     ).withColumn("text_sha256", F.sha2(fold_ascii(F.col("text")), 256))
     least = max(block_rows, docs.count() // 10_000)
     hot = rows.groupBy("text_sha256").agg(F.count("*").alias("hot_size"), best("doc_id").alias("hot_keep")).where(F.col("hot_size") > least)
@@ -49,5 +49,5 @@ def content_sort_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     kept = (F.col("nth") == 1) & F.col("doc_id").eqNullSafe(F.col("keep_id"))
     return out.select(
         "doc_id", "keep_id", F.coalesce("hot_size", "run_size").alias("group_size"), kept.alias("kept"), "text_sha256",
-        *([F.struct(*[(F.when(~F.col("void"), F.col("text")) if c == text_col else F.col(f"rest.`{c}`")).alias(c) for c in carry]).alias("row")] if carry else []),
+        *([F.struct(*[(F.when(~F.col("void"), F.col("text")) if c == text_col else named(c, "rest.")).alias(c) for c in carry]).alias("row")] if carry else []),
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from bytelake.llm.common import materialize, text_or_empty, words
+from bytelake.llm.common import materialize, named, text_or_empty, words
 
 
 def n_words(text: Column) -> Column:
@@ -72,14 +72,14 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     # Equal identifiers share what is taken: by (identifier, size) every row of such a set takes the same or the cut.
     taken = mix_sources(docs, **options).groupBy("doc_id", "source", "size").agg(F.sort_array(F.collect_list("taken"), asc=False).alias("list"))
     source_col = options.get("source_col", "source")
-    ours = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")).select(
-        "row", F.col(f"row.{id_col}").alias("i"), F.col(f"row.{source_col}").alias("o"), n_words(text_or_empty(F.col(f"row.{text_col}"))).alias("n")
+    ours = docs.select(F.struct(*[named(c) for c in docs.columns]).alias("row")).select(
+        "row", named(id_col, "row.").alias("i"), named(source_col, "row.").alias("o"), n_words(text_or_empty(named(text_col, "row."))).alias("n")
     )
     nth = F.row_number().over(Window.partitionBy("i", "o", "n").orderBy(F.xxhash64("row")))
     on = F.col("i").eqNullSafe(F.col("doc_id")) & F.col("o").eqNullSafe(F.col("source")) & (F.col("n") == F.col("size"))
     j = ours.withColumn("nth", nth).join(taken, on).withColumn("take", F.element_at("list", F.col("nth"))).where("take > 0")
     j = j.withColumn("whole", F.floor(F.col("take") / F.col("n")).cast("int")).withColumn("part", (F.col("take") % F.col("n")).cast("int"))
-    cut = F.array_join(F.slice(words(text_or_empty(F.col(f"row.{text_col}"))), 1, F.col("part")), " ")
+    cut = F.array_join(F.slice(words(text_or_empty(named(text_col, "row."))), 1, F.col("part")), " ")
     parts = F.concat(F.array_repeat(F.lit(False), F.col("whole")), F.when(F.col("part") > 0, F.array(F.lit(True))).otherwise(F.array().cast("array<boolean>")))
-    return j.withColumn("cut", F.explode(parts)).select(*[F.when(F.col("cut"), cut).otherwise(F.col(f"row.{c}")).alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
+    return j.withColumn("cut", F.explode(parts)).select(*[F.when(F.col("cut"), cut).otherwise(named(c, "row.")).alias(c) if c == text_col else named(c, "row.").alias(c) for c in docs.columns])
 

@@ -15,6 +15,9 @@ import pyarrow as pa
 from numpy.lib.stride_tricks import as_strided
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
+
+from bytelake.llm.common import named
 
 #: A chunk is 4 cells of 128 bytes and shares one with the next; filters look at 8 bytes, at every second byte.
 CELL, CELLS, STEP, WIDTH, STRIDE = 128, 4, 3, 8, 2
@@ -52,10 +55,13 @@ class Network:
         return 1 / (1 + np.exp(-z.astype(np.float64)))
 
     def score(self, texts: list[bytes], step: int = 1 << 18) -> np.ndarray:
-        """Probability of label 1 of every whole text. Memory: the responses to ``step`` bytes at a time and one row a cell."""
+        """Probability of label 1 of every whole text, each padded and with an empty cell after it, so no filter sees another text.
+
+        Memory: the responses to ``step`` bytes at a time and one row a cell.
+        """
         cells = np.array([(len(t) + WIDTH + CELL - 1) // CELL for t in texts], dtype=np.int64)
-        data = np.zeros(int(cells.sum()) * CELL + WIDTH, dtype=np.uint8)
-        first = np.concatenate([[0], np.cumsum(cells)])
+        first = np.concatenate([[0], np.cumsum(cells + 1)])
+        data = np.zeros(int(first[-1]) * CELL + WIDTH, dtype=np.uint8)
         for at, t in zip(first.tolist(), texts, strict=False):
             data[at * CELL : at * CELL + len(t)] = np.frombuffer(t, dtype=np.uint8)
         most = np.empty((int(first[-1]), self.p["bias"].size), dtype=np.float32)
@@ -70,7 +76,7 @@ class Network:
         at = first[doc] + STEP * (np.arange(len(doc)) - starts[doc])
         pooled = most[at]
         for k in range(1, CELLS):
-            np.maximum(pooled, most[np.minimum(at + k, first[doc + 1] - 1)], out=pooled)
+            np.maximum(pooled, most[np.minimum(at + k, first[doc + 1] - 2)], out=pooled)
         left = np.array([len(t) for t in texts])[doc] - CELL * (at - first[doc])
         return self.combine(pooled, (np.clip(left, 0, CHUNK) / CHUNK).astype(np.float32), starts, counts)
 
@@ -197,9 +203,9 @@ def score_quality(docs: DataFrame, net: Network, *, id_col: str = "doc_id", text
                 scores += model.score(group).tolist()
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scores, type=pa.float64()), *[b.column(2 + k) for k in range(bool(kept))]], names=["doc_id", "score", *["row"] * bool(kept)])
 
-    row = F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row")
+    row = F.struct(*[named(c) for c in kept]).alias("row")
     given = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *[row] * bool(kept))
-    schema = f"doc_id long, score double{', row ' + given.schema['row'].dataType.simpleString() if kept else ''}"
+    schema = StructType([StructField("doc_id", LongType()), StructField("score", DoubleType()), *([given.schema["row"]] if kept else [])])
     out = given.mapInArrow(score, schema)
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), *["row"] * bool(kept))
 

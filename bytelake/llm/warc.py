@@ -123,7 +123,7 @@ def fixity_audit(left: DataFrame, right: DataFrame, *, fan: int = 16) -> DataFra
     gone, new = (p.join(q.select(F.col("id").alias("i"), F.col("sha").alias("s"), F.col("nth").alias("k")), F.col("id").eqNullSafe(F.col("i")) & (F.col("sha") == F.col("s")) & (F.col("nth") == F.col("k")), "left_anti") for p, q in ((x, y), (y, x)))
     rank = Window.partitionBy("id").orderBy("sha", "nth")
     place = F.struct("file", "offset", "length", "sha").alias("at")
-    gone, new = (t.select("id", F.when(F.col("id").isNotNull(), F.row_number().over(rank)).otherwise(F.xxhash64("sha", "nth") * sign).alias("k"), place) for t, sign in ((gone, 1), (new, 3)))
+    gone, new = (t.select("id", F.when(F.col("id").isNotNull(), F.row_number().over(rank)).otherwise(F.xxhash64("sha", "nth", F.lit(sign))).alias("k"), place) for t, sign in ((gone, 1), (new, 3)))
     both = gone.select("id", "k", F.col("at").alias("l")).join(new.select("id", "k", F.col("at").alias("r")), ["id", "k"], "full_outer")
     # Null ids never join, so each is missing or extra.
     at = F.coalesce("l", "r")
