@@ -39,7 +39,8 @@ from bytelake.operators.rowwise import flat_map
 
 @dataclass(frozen=True)
 class Profile:
-    """Settings of a plan. fast() looks at less."""
+    """Settings of a plan. fast() looks at less. per_gram bounds the old places looked at for each new one, lest images of
+    repeated bytes cost the square of their size; it can make a patch larger, never wrong."""
 
     least: int = 16
     block: int = 48
@@ -52,6 +53,7 @@ class Profile:
     flash_base: int = 0x08000000
     endian: str = "le"
     chunked: bool = False
+    per_gram: int = 16
 
     @classmethod
     def fast(cls) -> Profile:
@@ -60,9 +62,9 @@ class Profile:
 
 def candidates(old: bytes, new: bytes, p: Profile, starts: np.ndarray | None = None) -> list[Match]:
     """The best cover by global matches and, unless those cover enough, local ones and, if asked for, content-defined chunks."""
-    found = global_matches(old, new, p.least)
+    found = global_matches(old, new, p.least, p.per_gram)
     if p.skip_local is None or coverage(found, len(new)) < p.skip_local * len(new):
-        found = found + local_matches(old, new, least=p.least_run, block=p.block, step=p.step)
+        found = found + local_matches(old, new, least=p.least_run, block=p.block, step=p.step, candidates=p.per_gram)
     if p.chunked:
         found = found + chunk_matches(old, new)
     return best_cover(found, starts)
@@ -80,7 +82,7 @@ def fill_gap(old: bytes, new: bytes, a: int, b: int, found: list[Match], p: Prof
     if len(piece) <= p.small_gap:
         return codec.literals(piece)
     clipped = [Match(max(m.new, a), m.old + max(m.new, a) - m.new, min(m.new + m.length, b) - max(m.new, a)) for m in found if m.new < b and m.new + m.length > a]
-    clipped = [m for m in clipped if m.length >= 8] or [Match(m.new + a, m.old, m.length) for m in local_matches(old, piece, least=p.least_run, block=p.block, step=p.step)]
+    clipped = [m for m in clipped if m.length >= 8] or [Match(m.new + a, m.old, m.length) for m in local_matches(old, piece, least=p.least_run, block=p.block, step=p.step, candidates=p.per_gram)]
     out, at = [], a
     for m in trimmed(clipped):
         if 1 + uleb_size(m.old) + uleb_size(m.length) + p.copy_margin <= 1 + uleb_size(m.length) + m.length:
@@ -143,7 +145,7 @@ def plan_advanced(old: bytes, new: bytes, symbols: list[Match] | None = None, p:
         regions.append((Match(at, at, size), change_runs(old[at : at + size], new[at : at + size])))
         covered[at : at + size] = True
     view = (masked(old, sites[0]), masked(new, sites[1])) if sites else (old, new)
-    found = trimmed(refined(trimmed(global_matches(*view, p.least) + local_matches(*view, block=p.block, step=p.step)), old, new))
+    found = trimmed(refined(trimmed(global_matches(*view, p.least, p.per_gram) + local_matches(*view, block=p.block, step=p.step, candidates=p.per_gram)), old, new))
     return emit(old, new, regions, found, p)
 
 

@@ -41,7 +41,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return images.text_images(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return images.spread(images.text_images(table(spark, sf_dir, "documents"), "doc_id", "text"))
 
 
 def page_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -455,7 +455,7 @@ SELECT pair_id, coalesce(shared, 0) AS shared, coalesce(every, 0) AS every, CASE
 def q_kgram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     def grams(data: str) -> F.Column:
         n = F.octet_length(data)
-        return F.when(n >= 16, F.array_distinct(F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), n - 16), F.lit(4)), lambda i: F.substring(F.col(data), i + 1, F.lit(16))))).otherwise(F.array().cast("array<binary>"))
+        return F.when(n >= 16, F.array_distinct(F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), n - 16), F.lit(4)), lambda i: F.hex(F.substring(F.col(data), i + 1, F.lit(16)))))).otherwise(F.array().cast("array<string>"))
 
     p = page_pairs(spark, sf_dir).select("pair_id", grams("old").alias("a"), grams("new").alias("b"))
     p = p.select("pair_id", F.size(F.array_intersect("a", "b")).cast("long").alias("shared"), F.size(F.array_union("a", "b")).cast("long").alias("every"))
@@ -669,10 +669,12 @@ def q_apply_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"SELECT doc_id AS pair_id, unnest({KINDS_SQL}) AS kind, true AS adds_up FROM documents")
 def q_op_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encoded sizes of a patch's instructions, header and end add up to the stream, and lengths to the target."""
-    p = patches(spark, sf_dir).select("pair_id", "kind", "patch", "raw_len", "target_len")
-    sums = patching.instructions(p, ["pair_id", "kind", "raw_len", "target_len"]).groupBy("pair_id", "kind").agg(F.sum("size").alias("size"), F.sum("length").alias("length"))
-    zero = lambda c: F.coalesce(c, F.lit(0))
-    return p.drop("patch").join(sums, ["pair_id", "kind"], "left").select("pair_id", "kind", ((zero("size") + codec.HEADER_SIZE + 1 == F.col("raw_len")) & (zero("length") == F.col("target_len"))).alias("adds_up"))
+
+    def kernel(patch: bytes, raw_len: int, target_len: int) -> list[tuple]:
+        (target, head), *rows = codec.decode(codec.inflated(bytes(patch)))
+        return [(head + sum(n for _, n in rows) + 1 == raw_len and sum(x.length for x, _ in rows) == target == target_len,)]
+
+    return flat_map(patches(spark, sf_dir).select("pair_id", "kind", "patch", "raw_len", "target_len"), kernel, "pair_id long, kind string, adds_up boolean", keep=2)
 
 
 @query()

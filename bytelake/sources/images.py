@@ -21,6 +21,12 @@ def text_images(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(F.col(id_col).cast("long").alias("image_id"), image(text_col).alias("bytes"))
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """A scan with at least as many partitions as there are cores, for kernels that cost more than a shuffle; large scans stay as they are."""
+    n = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= n else scan.repartition(2 * n)
+
+
 def consecutive_pairs(images: DataFrame) -> DataFrame:
     """(pair_id, old, new): each image with the one whose id is one less; an equi-join, so neither side is gathered."""
     old = images.select((F.col("image_id") + 1).alias("pair_id"), F.col("bytes").alias("old"))
