@@ -130,7 +130,7 @@ def windows(sizes: list[int], capacity: int) -> list[list[int]]:
         k += 1
 
 
-def pack_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", capacity: int = 2048, piece: int = 512, block_windows: int = 32, slack: int = 6, end_id: int = 1, tokenizer_path: str | None = None) -> DataFrame:
+def pack_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", capacity: int = 2048, piece: int = 512, block_windows: int = 64, slack: int = 16, end_id: int = 1, tokenizer_path: str | None = None) -> DataFrame:
     """Pieces of tokenised documents and their place in sequences of at most ``capacity`` tokens.
 
     A document is its ids and then end_id. Whole windows are cut from it first; the rest is cut into pieces of at
