@@ -158,7 +158,9 @@ def fit_quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", t
     """
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1) & ~held_out(F.col(id_col))).groupBy(F.col(id_col).alias("i")).agg(F.min(label_col).cast("int").alias("y"))
     sizes = dict(map(tuple, known.groupBy("y").count().collect()))
-    picked = [known.where(F.col("y") == y).orderBy(F.xxhash64("i"), "i").limit(most_rows) for y in (0, 1)]
+    # Twice as many as needed pass by hash, so tasks together send the driver no more, however many they are.
+    share = lambda y: min(1.0, 2 * most_rows / max(1, sizes.get(y, 0)))
+    picked = [known.where((F.col("y") == y) & (F.pmod(F.xxhash64("i", F.lit(1)), F.lit(1 << 32)) < int(share(y) * (1 << 32)))).orderBy(F.xxhash64("i"), "i").limit(most_rows) for y in (0, 1)]
     sample = F.broadcast(picked[0].unionByName(picked[1]))  # at most 2 * most_rows rows
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
