@@ -22,42 +22,45 @@ from bytelake.llm.components import components
 NO_ID = (1 << 63) - 1
 #: Similarity as a fraction: 80 / 100.
 NUM, DEN = 80, 100
-MIX = np.uint64(0x9E3779B97F4A7C15)
+#: Odd factors of the words of a shingle, powers of one; words' hashes are spread over 64 bits already.
+FACTORS = [np.uint64(pow(0x9E3779B97F4A7C15, i, 1 << 64)) for i in range(1, 65)]
 
 
-class Shingler:
+class Shingler(dict):
     """Sorted distinct 64-bit hashes of a text's word shingles; hashes of words are remembered, at most ``most``."""
 
     def __init__(self, k: int = 5, most: int = 500_000) -> None:
         import xxhash
 
+        super().__init__()
         self.k, self.most, self.hash = k, most, xxhash.xxh64_intdigest
-        self.known: dict[bytes, int] = {}
-
-    def word(self, w: bytes) -> int:
-        h = self.known.get(w)
-        if h is None:
-            if len(self.known) >= self.most:
-                self.known.clear()
-            h = self.known[w] = self.hash(w)
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= self.most:
+            self.clear()
+        self[word] = h = self.hash(word)
         return h
 
     def tokens(self, text: str | None) -> np.ndarray:
         words = text.encode().lower().split() if text else []  # bytes: A-Z only, ASCII white space only
-        n, k = len(words), self.k
+        n = len(words)
         if n == 0:
             return np.empty(0, dtype=np.uint64)
-        h = np.fromiter(map(self.word, words), dtype=np.uint64, count=n)
-        width = min(n, k)
-        out = np.full(n - width + 1, np.uint64(width))
-        for i in range(width):
-            out = mixed(out * MIX + h[i : n - width + 1 + i])
-        return np.unique(out)
+        h = np.fromiter(map(self.__getitem__, words), dtype=np.uint64, count=n)
+        width = min(n, self.k)
+        out = h[: n - width + 1] * FACTORS[0]
+        for i in range(1, width):
+            out += h[i : n - width + 1 + i] * FACTORS[i % len(FACTORS)]
+        out += np.uint64(width)
+        return distinct(out)
 
 
-def mixed(x: np.ndarray) -> np.ndarray:
-    x = x ^ (x >> np.uint64(32))
-    return x * np.uint64(0xD6E8FEB86659FD93)
+def distinct(x: np.ndarray) -> np.ndarray:
+    x.sort()
+    keep = np.empty(len(x), dtype=bool)
+    keep[:1] = True
+    np.not_equal(x[1:], x[:-1], out=keep[1:])
+    return x if keep.all() else x[keep]
 
 
 def set_key(tokens: np.ndarray) -> int:
@@ -124,7 +127,7 @@ def frequent_tokens(docs: DataFrame, k: int, most: int) -> list[tuple[int, int]]
 
 
 def prefixes(docs: DataFrame, k: int, frequent: list[tuple[int, int]]) -> DataFrame:
-    """(doc_id, n, key, prefix): size and name of each document's set, and its prefix tokens."""
+    """(doc_id, n, key, prefix, bits): size and name of each document's set, its prefix tokens and its bitmap."""
     tokens = np.array([t for t, _ in frequent], dtype=np.int64).view(np.uint64)
     order = np.argsort(tokens)
     held = docs.sparkSession.sparkContext.broadcast((tokens[order], order.astype(np.int64)))
@@ -132,11 +135,12 @@ def prefixes(docs: DataFrame, k: int, frequent: list[tuple[int, int]]) -> DataFr
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, (known, rank) = Shingler(k), held.value
         for b, texts in texts_of(batches):
-            n, key, prefix = [], [], []
+            n, key, prefix, bits = [], [], [], []
             for text in texts:
                 t = shingler.tokens(text)
                 n.append(t.size)
                 key.append(set_key(t))
+                bits.append(bitmap(t) if t.size else b"")
                 if t.size:
                     length = prefix_length(t.size)
                     if len(known):
@@ -146,9 +150,23 @@ def prefixes(docs: DataFrame, k: int, frequent: list[tuple[int, int]]) -> DataFr
                         t = np.concatenate([rare, known[common[np.argsort(rank[common])]]]) if rare.size < length else rare
                     t = t[:length]
                 prefix.append(t.view(np.int64))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, type=pa.int32()), pa.array(key, type=pa.int64()), pa.array(prefix, type=pa.list_(pa.int64()))], names=["doc_id", "n", "key", "prefix"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, type=pa.int32()), pa.array(key, type=pa.int64()), lists(prefix), pa.array(bits, type=pa.binary())], names=["doc_id", "n", "key", "prefix", "bits"])
+
+    return docs.select("doc_id", "text").mapInArrow(make, "doc_id long, n int, key long, prefix array<long>, bits binary")
+
+
+def lists(arrays: list[np.ndarray]) -> pa.ListArray:
+    ends = np.concatenate([[0], np.cumsum([len(x) for x in arrays])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(arrays) if arrays else np.empty(0, dtype=np.int64), type=pa.int64()))
+
 
-    return docs.select("doc_id", "text").mapInArrow(make, "doc_id long, n int, key long, prefix array<long>")
+def bitmap(tokens: np.ndarray, words: int = 8) -> bytes:
+    """64 * words bits, bit (token mod bits) set for each token; words doubles while a set has over 32 tokens a word, up to 4096."""
+    while tokens.size > 32 * words and words < 4096:
+        words *= 2
+    flags = np.zeros(64 * words, dtype=bool)
+    flags[(tokens & np.uint64(64 * words - 1)).view(np.int64)] = True
+    return np.packbits(flags, bitorder="little").tobytes()
 
 
 def verified(pairs: DataFrame, texts: DataFrame, k: int) -> DataFrame:
@@ -173,30 +191,42 @@ def verified(pairs: DataFrame, texts: DataFrame, k: int) -> DataFrame:
     return sided.select("a", "b", "text_a", "text_b").mapInArrow(test, "a long, b long")
 
 
-def named_texts(rows: DataFrame, k: int) -> DataFrame:
-    """(key, text), one for each set name: of rows (doc_id, key, text) those whose text has that set, for identifiers may repeat."""
+def likely(pairs: DataFrame, bits: DataFrame) -> DataFrame:
+    """The pairs (a, b) that their bitmaps (key, n, bits) don't rule out."""
+    side = lambda s: bits.select(F.col("key").alias(s), F.col("n").alias(f"n_{s}"), F.col("bits").alias(f"bits_{s}"))
+
+    def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n, m, x, y = (b.column(i).to_pylist() for i in range(2, 6))
+            keep = []
+            for i, j, p, q in zip(n, m, x, y, strict=True):
+                words = min(len(p), len(q)) // 8
+                p, q = (folded(np.frombuffer(z, dtype="<u8"), words) for z in (p, q))
+                apart = int(np.bitwise_count(p ^ q).sum())
+                keep.append((NUM + DEN) * apart <= (DEN - NUM) * (i + j))
+            yield b.filter(pa.array(keep, type=pa.bool_())).select(["a", "b"])
+
+    sided = pairs.join(side("a"), "a").join(side("b"), "b")
+    return sided.select("a", "b", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(test, "a long, b long")
+
+
+def texts_for(pairs: DataFrame, docs: DataFrame, reps: DataFrame, k: int, small: int = 200_000) -> DataFrame:
+    """(key, text), one for each set name in pairs. Of the documents with the name's identifier those whose text has that set,
+    for identifiers may repeat. Few names, by count, are broadcast, and no text is shuffled for the others."""
+    names = materialize(pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct().join(reps, "key").withColumnRenamed("rep", "doc_id"), "names")
+    ids = F.broadcast(names) if names.count() <= small else names
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(k)
         for b in batches:
-            b = b.filter(pa.array([bool((t := shingler.tokens(x)).size) and set_key(t) == key for key, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)], type=pa.bool_()))
-            yield b
+            yield b.filter(pa.array([set_key(shingler.tokens(x)) == key for key, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)], type=pa.bool_()))
 
-    return rows.select("key", "text").mapInArrow(own, "key long, text string").dropDuplicates(["key"])
+    return materialize(docs.join(ids, "doc_id").select("key", "text").mapInArrow(own, "key long, text string").dropDuplicates(["key"]), "texts")
 
 
 # Signature trees
 
 
-def bitmaps(sets: list[np.ndarray], words: int) -> np.ndarray:
-    """A row of 64 * words bits for each set: bit (token mod bits)."""
-    out = np.zeros((len(sets), words), dtype=np.uint64)
-    for row, t in zip(out, sets, strict=True):
-        at = t % np.uint64(64 * words)
-        np.bitwise_or.at(row, (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63)))
-    return out
-
-
 class SignatureTree:
     """Levels of nodes over sets in a given order; level 0 are the sets, each further level joins ``fan`` neighbours.
 
@@ -297,24 +327,7 @@ def tree_pairs(members: DataFrame) -> DataFrame:
     return dealt.mapInArrow(search, "a long, b long").where("a <> b").distinct()
 
 
-def bitmap_table(texts: DataFrame, k: int, words: int = 32) -> DataFrame:
-    """(key, bits): 64 * words bits for each set, twice as many as long as a set has over a quarter as many tokens."""
-
-    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler = Shingler(k)
-        for b, got in texts_of(batches):
-            out = []
-            for text in got:
-                t, w = shingler.tokens(text), words
-                while t.size > 16 * w and w < 4096:
-                    w *= 2
-                out.append(bitmaps([t], w)[0].astype("<u8").tobytes())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, type=pa.binary())], names=["key", "bits"])
-
-    return texts.select("key", "text").mapInArrow(make, "key long, bits binary")
-
-
-def ngram_jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = 5, most_frequent: int = 1 << 17, block: int = 2000) -> tuple[DataFrame, DataFrame]:
+def ngram_jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = 5, most_frequent: int = 1 << 17, few: int = 8, block: int = 2000) -> tuple[DataFrame, DataFrame]:
     """Links between different sets, and the membership of every document.
 
     Returns (links, membership). links: (a, b), names of sets; of the links inside a group of alike sets enough to
@@ -326,11 +339,12 @@ def ngram_jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
 
     Plan: (1) count frequent tokens, all documents, broadcast at most most_frequent of them: the order that fills
     prefixes rarest first. (2) Sets, names and prefixes, one narrow pass; equal sets are one from here on, so exact
-    copies cost nothing. (3) Prefix tokens that two sets share are trees; trees of the same sets count once. In each,
-    every member is first compared with the most central one (most shared tokens): linear, and near copies by the
+    copies cost nothing. (3) Prefix tokens that two sets share are trees; trees of the same sets count once. In those
+    of more than ``few`` members every member is first compared with the most central one (most shared tokens): linear, and near copies by the
     thousand fall into one component without their pairs being made. (4) Trees that still hold several components are
     searched by dual traversal, pairs inside a component pruned; a tree of more than ``block`` members is dealt out as
-    pairs of blocks. (5) Possible pairs are compared in full. Copies of texts are shuffled only for sets in a tree.
+    pairs of blocks. (5) Possible pairs are compared in full, as were those of step 3 that bitmaps don't rule out; only
+    then texts are fetched again, of the sets concerned.
 
     Defined cases: null text is empty; documents without words have n_shingles 0 and are linked with nothing, their
     component_id is their own doc_id; null doc_ids count as larger than any other; a component of null doc_ids alone
@@ -338,36 +352,37 @@ def ngram_jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     """
     docs = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc_id"), F.col(text_col).alias("text"))
     sets = materialize(prefixes(docs, k, frequent_tokens(docs, k, most_frequent)), "sets")
-    single = sets.where("n > 0").dropDuplicates(["key"])
+    single = sets.where("n > 0").select("key", "n", "prefix").dropDuplicates(["key"])
     routed = single.select(F.explode("prefix").alias("token"), "key", "n").repartition("token")  # one exchange, read by both uses
     shared = routed.groupBy("token").agg(F.count("*").alias("members"), F.bit_xor(F.xxhash64("key")).alias("x"), F.bit_xor(F.xxhash64("key", F.lit(1))).alias("y")).where("members > 1")
     trees = shared.groupBy("members", "x", "y").agg(F.min("token").alias("token"), F.count("*").alias("times"))
     member = materialize(routed.join(trees.select("token", "members", "times"), "token").withColumnRenamed("token", "tree"), "members")
     reps = sets.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("rep"))
-    texts = materialize(named_texts(docs.join(reps.join(member.select("key").distinct(), "key", "left_semi").withColumnRenamed("rep", "doc_id"), "doc_id"), k), "texts")
+    bits = materialize(sets.select("key", "n", "bits").join(member.select("key").distinct(), "key", "left_semi").dropDuplicates(["key"]), "bits")
     weight = member.groupBy("key").agg(F.sum(F.col("times") * F.col("members")).alias("weight"))
     ranked = member.join(weight, "key")
     centre = ranked.groupBy("tree").agg(F.max(F.struct("weight", (-F.col("key")).alias("minus"), "n")).alias("top")).select("tree", (-F.col("top.minus")).alias("centre"), F.col("top.n").alias("centre_n"))
     fits = (F.col("n") * DEN >= F.col("centre_n") * NUM) & (F.col("centre_n") * DEN >= F.col("n") * NUM) & (F.col("key") != F.col("centre"))
-    stars = member.join(centre, "tree").where(fits).select(F.least("key", "centre").alias("a"), F.greatest("key", "centre").alias("b")).distinct()
-    first = materialize(verified(stars, texts, k), "links")
+    stars = member.where(F.col("members") > few).join(centre, "tree").where(fits).select(F.least("key", "centre").alias("a"), F.greatest("key", "centre").alias("b")).distinct()
+    stars = materialize(likely(stars, bits), "stars")
+    first = materialize(verified(stars, texts_for(stars, docs, reps, k), k), "links")
     labels = components(first)
     marked = member.join(labels, member["key"] == labels["v"], "left").select("tree", "key", "n", "members", F.coalesce("c", "key").alias("label"))
     open_trees = marked.groupBy("tree").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("tree")
-    left = marked.join(open_trees, "tree").join(bitmap_table(texts, k), "key")
+    left = marked.join(open_trees, "tree").join(bits.select("key", "bits"), "key")
     # Blocks i <= j of a large tree meet in a task of their own.
     many = F.ceil(F.col("members") / block).cast("int")
     mine = F.pmod(F.xxhash64("key"), many).cast("int")
     tiles = F.transform(F.sequence(F.lit(0), many - 1), lambda o: F.struct(F.least(o, mine).alias("i"), F.greatest(o, mine).alias("j")))
     possible = materialize(tree_pairs(left.withColumn("tile", F.explode(tiles)).select("*", "tile.i", "tile.j")), "pairs")
-    tested = possible.join(first, ["a", "b"], "left_anti")
-    links = materialize(first.unionByName(verified(tested, texts, k)), "links")
+    tested = materialize(possible.join(stars, ["a", "b"], "left_anti"), "tested")
+    links = materialize(first.unionByName(verified(tested, texts_for(tested, docs, reps, k), k)), "links")
     final = components(links)
     grouped = reps.join(final, reps["key"] == final["v"], "left").select("key", "rep", F.coalesce("c", "key").alias("label"))
     least = grouped.groupBy("label").agg(F.min("rep").alias("component"))
     of = grouped.join(least, "label").select("key", "component")
     known = lambda c: F.when(c != NO_ID, c)
-    membership = sets.drop("prefix").join(of, "key", "left").select(
+    membership = sets.drop("prefix", "bits").join(of, "key", "left").select(
         known(F.col("doc_id")).alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), "key", known(F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id"))).alias("component_id")
     )
     return links, membership
