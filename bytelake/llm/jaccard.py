@@ -160,9 +160,9 @@ def lists(arrays: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(arrays) if arrays else np.empty(0, dtype=np.int64), type=pa.int64()))
 
 
-def bitmap(tokens: np.ndarray, words: int = 8) -> bytes:
-    """64 * words bits, bit (token mod bits) set for each token; words doubles while a set has over 32 tokens a word, up to 4096."""
-    while tokens.size > 32 * words and words < 4096:
+def bitmap(tokens: np.ndarray, words: int = 32) -> bytes:
+    """64 * words bits, bit (token mod bits) set for each token; words doubles while a set has over 16 tokens a word, up to 4096."""
+    while tokens.size > 16 * words and words < 4096:
         words *= 2
     flags = np.zeros(64 * words, dtype=bool)
     flags[(tokens & np.uint64(64 * words - 1)).view(np.int64)] = True
@@ -327,7 +327,7 @@ def tree_pairs(members: DataFrame) -> DataFrame:
     return dealt.mapInArrow(search, "a long, b long").where("a <> b").distinct()
 
 
-def ngram_jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = 5, most_frequent: int = 1 << 17, few: int = 8, block: int = 2000) -> tuple[DataFrame, DataFrame]:
+def ngram_jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = 5, most_frequent: int = 1 << 17, few: int = 1, block: int = 2000) -> tuple[DataFrame, DataFrame]:
     """Links between different sets, and the membership of every document.
 
     Returns (links, membership). links: (a, b), names of sets; of the links inside a group of alike sets enough to
