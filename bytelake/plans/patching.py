@@ -31,15 +31,18 @@ from bytelake.functions.kernels import (
     refined,
     reloc_changes,
     reloc_regions,
+    runs,
     trimmed,
     uleb_size,
 )
 from bytelake.operators.rowwise import flat_map
+from bytelake.operators.similarity import breakdown, density_threshold
 
 
 @dataclass(frozen=True)
 class Profile:
-    """Settings of a plan. fast() looks at less."""
+    """Settings of a plan. fast() looks at less. least_similarity drops symbol regions below it; sections are filled in for
+    images of less than sections_below bytes."""
 
     least: int = 16
     block: int = 48
@@ -52,6 +55,8 @@ class Profile:
     flash_base: int = 0x08000000
     endian: str = "le"
     chunked: bool = False
+    least_similarity: float = 0.0
+    sections_below: int = 200_000
 
     @classmethod
     def fast(cls) -> Profile:
@@ -125,20 +130,41 @@ def plan_whole(old: bytes, new: bytes, most_ratio: float = 0.02) -> list[Instruc
     return codec.peephole(out + ([Instruction(COPY, b, len(old) - b)] if b else []))
 
 
-def plan_advanced(old: bytes, new: bytes, symbols: list[Match] | None = None, p: Profile = Profile(), sites: tuple[list, list] | None = None, reloc: bool = True) -> list[Instruction]:
-    """The whole-image fast path; else symbol regions, merged and gated by how much of them changes, runs of moved addresses, and
-    refined matches in the gaps."""
+def inside(regions: list[Match] | None, old: bytes, new: bytes) -> list[Match]:
+    """Regions cut to both images; those with nothing left are dropped."""
+    cut = [Match(r.new, r.old, min(r.length, len(new) - r.new, len(old) - r.old)) for r in regions or [] if r.new >= 0 and r.old >= 0]
+    return [r for r in cut if r.length > 0]
+
+
+def region_changes(a: bytes, b: bytes, lo: int, hi: int, p: Profile, reloc: bool = True) -> np.ndarray | None:
+    """Changes of a symbol region, or None if they are too many: the more alike its sides, the denser they may be."""
+    if not reloc:
+        return gated_changes(a, b, 64, 0.5)
+    alike = breakdown(a, b, lo, hi, endian=p.endian)[1]
+    return None if alike < p.least_similarity else reloc_changes(a, b, lo, hi, p.endian, max(128, len(b) // 4), density_threshold(alike))
+
+
+def plan_advanced(
+    old: bytes, new: bytes, symbols: list[Match] | None = None, p: Profile = Profile(), sites: tuple[list, list] | None = None, reloc: bool = True, sections: list[Match] | None = None
+) -> list[Instruction]:
+    """The whole-image fast path; else symbol regions, merged and gated by how alike they are and how much of them changes, what
+    sections hold beside them, runs of moved addresses, and refined matches in the gaps."""
     if (short := plan_whole(old, new, p.fast_path)) is not None:
         return short
     lo, hi = p.flash_base, p.flash_base + max(len(old), len(new))
     regions: list[tuple[Match, np.ndarray | None]] = []
     covered = np.zeros(len(new), dtype=bool)
-    for m in trimmed(merged_regions([s for s in symbols or [] if s.old + s.length <= len(old) and s.new + s.length <= len(new)], old, new), least=1):
-        a, b = old[m.old : m.old + m.length], new[m.new : m.new + m.length]
-        changes = reloc_changes(a, b, lo, hi, p.endian) if reloc else gated_changes(a, b)
+    for m in trimmed(merged_regions(inside(symbols, old, new), old, new), least=1):
+        changes = region_changes(old[m.old : m.old + m.length], new[m.new : m.new + m.length], lo, hi, p, reloc)
         if changes is not None:
             regions.append((m, changes))
             covered[m.new : m.new + m.length] = True
+    for m in inside(sections, old, new) if reloc and len(new) < p.sections_below else []:
+        for x, y in runs(~covered[m.new : m.new + m.length]).tolist():
+            changes = reloc_changes(old[m.old + x : m.old + y], new[m.new + x : m.new + y], lo, hi, p.endian, max(128, (y - x) // 4), 0.5)
+            if changes is not None:
+                regions.append((Match(m.new + x, m.old + x, y - x), changes))
+                covered[m.new + x : m.new + y] = True
     for at, size in reloc_regions(old, new, lo, hi, covered, p.endian) if reloc else []:
         regions.append((Match(at, at, size), change_runs(old[at : at + size], new[at : at + size])))
         covered[at : at + size] = True
@@ -147,9 +173,11 @@ def plan_advanced(old: bytes, new: bytes, symbols: list[Match] | None = None, p:
     return emit(old, new, regions, found, p)
 
 
-def make_patch(old: bytes, new: bytes, mode: str = "global", p: Profile = Profile(), symbols: list[Match] | None = None) -> tuple[bytes, bool]:
+def make_patch(
+    old: bytes, new: bytes, mode: str = "global", p: Profile = Profile(), symbols: list[Match] | None = None, sections: list[Match] | None = None, sites: tuple[list, list] | None = None
+) -> tuple[bytes, bool]:
     """(raw patch, verified): of a failed advanced plan the global one is made instead; what fails both is not verified."""
-    plans = {"advanced": lambda: plan_advanced(old, new, symbols, p), "global": lambda: plan_global(old, new, p)}
+    plans = {"advanced": lambda: plan_advanced(old, new, symbols, p, sites, sections=sections), "global": lambda: plan_global(old, new, p, sites)}
     for name in dict.fromkeys((mode, "global")):
         raw = codec.encode(plans[name](), len(new))
         try:
@@ -160,16 +188,27 @@ def make_patch(old: bytes, new: bytes, mode: str = "global", p: Profile = Profil
     return raw, False
 
 
-def generate_patches(pairs: DataFrame, keys: list[str], mode: str = "global", profile: Profile = Profile(), old_col: str = "old", new_col: str = "new") -> DataFrame:
-    """Adds (patch, compressed, raw_len, patch_len, target_len, ok) to the keys of pairs; ok: applying it gives new, byte for byte."""
+def generate_patches(
+    pairs: DataFrame, keys: list[str], mode: str = "global", profile: Profile = Profile(), old_col: str = "old", new_col: str = "new",
+    symbols_col: str | None = None, sections_col: str | None = None, sites_cols: tuple[str, str] | None = None,
+) -> DataFrame:
+    """Adds (patch, compressed, raw_len, patch_len, target_len, ok) to the keys of pairs; ok: applying it gives new, byte for byte.
+
+    symbols_col, sections_col: arrays of (n_off, o_off, size), paired regions. sites_cols: arrays of (at, kind) of either
+    image, sites to normalise if neither is null. Null is none.
+    """
+    extra = [c for c in (symbols_col, sections_col, *(sites_cols or ())) if c]
 
-    def kernel(old: bytes, new: bytes) -> list[tuple]:
-        raw, ok = make_patch(bytes(old), bytes(new), mode, profile)
+    def kernel(old: bytes, new: bytes, *more: list | None) -> list[tuple]:
+        given = dict(zip(extra, more, strict=True))
+        paired = lambda c: [Match(*r.values()) for r in given.get(c) or []]
+        sites = tuple([tuple(r.values()) for r in given[c]] for c in sites_cols) if sites_cols and all(given[c] is not None for c in sites_cols) else None
+        raw, ok = make_patch(bytes(old), bytes(new), mode, profile, paired(symbols_col), paired(sections_col), sites)
         small = codec.compress(raw)
         return [(small, True, len(raw), len(small), len(new), ok)]
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pairs.select(*keys).schema)
-    return flat_map(pairs.select(*keys, old_col, new_col), kernel, f"{schema}, patch binary, compressed boolean, raw_len long, patch_len long, target_len long, ok boolean", keep=len(keys))
+    return flat_map(pairs.select(*keys, old_col, new_col, *extra), kernel, f"{schema}, patch binary, compressed boolean, raw_len long, patch_len long, target_len long, ok boolean", keep=len(keys))
 
 
 def apply_patches(patches: DataFrame, keys: list[str], old_col: str = "old", patch_col: str = "patch") -> DataFrame:

@@ -625,7 +625,9 @@ def q_roundtrip_global(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(EVERY_PAIR)
 def q_roundtrip_advanced(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return patches(spark, sf_dir, "advanced").select("pair_id", "kind", "ok")
+    """With lines as symbols, paragraphs as sections and numbers as sites."""
+    pairs = images.described(images.mutated_pairs(documents(spark, sf_dir)))
+    return patching.generate_patches(pairs, ["pair_id", "kind"], "advanced", symbols_col="symbols", sections_col="sections", sites_cols=("old_sites", "new_sites")).select("pair_id", "kind", "ok")
 
 
 @query("SELECT n.conv_id AS chain, n.turn AS seq, CAST(strlen(coalesce(n.text, '')) AS BIGINT) AS target_len, true AS ok FROM conversations n JOIN conversations o ON o.conv_id = n.conv_id AND o.turn = n.turn - 1")

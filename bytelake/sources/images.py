@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -79,6 +81,51 @@ def mutated_pairs(images: DataFrame, kinds: tuple[str, ...] = MUTATIONS) -> Data
     return flat_map(images.select("image_id", "bytes"), kernel, "pair_id long, kind string, old binary, new binary")
 
 
+def paired_lines(old: bytes, new: bytes, split: bytes = b"\n", head: int = 12) -> list[tuple[int, int, int]]:
+    """(n_off, o_off, size) of the parts between ``split``, as symbols by the name of their first bytes: of repeated old names the
+    last by offset; the smaller size, more than 0."""
+
+    def parts(data: bytes) -> list[tuple[bytes, int, int]]:
+        out, at = [], 0
+        for part in data.split(split):
+            out.append((part[:head], at, len(part)))
+            at += len(part) + len(split)
+        return out
+
+    last = {name: (off, size) for name, off, size in parts(old)}
+    return [(off, last[name][0], min(size, last[name][1])) for name, off, size in parts(new) if name in last and min(size, last[name][1]) > 0]
+
+
+def paired_paragraphs(old: bytes, new: bytes) -> list[tuple[int, int, int]]:
+    """(n_off, o_off, size) of the parts between empty lines, as sections by their number; the smaller size, more than 0."""
+
+    def parts(data: bytes) -> list[tuple[int, int]]:
+        out, at = [], 0
+        for part in data.split(b"\n\n"):
+            out.append((at, len(part)))
+            at += len(part) + 2
+        return out
+
+    return [(n, o, min(a, b)) for (n, a), (o, b) in zip(parts(new), parts(old), strict=False) if min(a, b) > 0]
+
+
+def number_sites(data: bytes) -> list[tuple[int, str]]:
+    """Places of four digits each, from the left, as sites of addresses."""
+    return [(m.start(), "ptr") for m in re.finditer(rb"[0-9]{4}", data)]
+
+
+def described(pairs: DataFrame) -> DataFrame:
+    """(pair_id, kind, old, new) with metadata as an image's symbol file would give them: lines as symbols, paragraphs as
+    sections, numbers as sites."""
+
+    def kernel(old: bytes, new: bytes) -> list[tuple]:
+        old, new = bytes(old), bytes(new)
+        return [(old, new, paired_lines(old, new), paired_paragraphs(old, new), number_sites(old), number_sites(new))]
+
+    region, site = "array<struct<n_off:long,o_off:long,size:long>>", "array<struct<at:long,kind:string>>"
+    return flat_map(pairs.select("pair_id", "kind", "old", "new"), kernel, f"pair_id long, kind string, old binary, new binary, symbols {region}, sections {region}, old_sites {site}, new_sites {site}", keep=2)
+
+
 def small_mutation_hex(data: Column, number: Column) -> Column:
     """The small mutation in Catalyst, as hex digits."""
     at = F.sequence(F.lit(0), F.octet_length(data) - 1)

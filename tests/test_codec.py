@@ -74,3 +74,40 @@ def test_peephole_and_literals():
     assert joined == [Instruction(COPY, 7, 5), Instruction(ADD, 3, data=b"abc")]
     assert codec.literals(b"ab" + b"z" * 9 + b"c") == [Instruction(ADD, 2, data=b"ab"), Instruction(FILL, 9, data=b"z"), Instruction(ADD, 1, data=b"c")]
     assert codec.first_difference(b"abc", b"abd") == 2 and codec.first_difference(b"ab", b"abd") == 2 and codec.first_difference(b"a", b"a") is None
+
+
+def test_symbol_regions_are_gated_by_similarity():
+    rng = __import__("numpy").random.default_rng(5)
+    old = rng.integers(0, 256, 3000).astype("u1").tobytes()
+    body = bytearray(old[500:1500])
+    body[20::50] = bytes(b ^ 255 for b in body[20::50])  # 20 changed runs
+    dense = bytearray(old[1500:2000])
+    for k in range(0, 500, 10):
+        dense[k : k + 2] = bytes(b ^ 255 for b in dense[k : k + 2])  # 20 % of the bytes
+    new = bytes(rng.integers(0, 256, 300).astype("u1").tobytes() + body + dense)
+    p = patching.Profile(fast_path=0)
+    where = lambda xs: [(x.op in (PATCH, PATCH_COMPACT, PATCH_DIFF, DIFF), x.length, x.old) for x in xs if x.op != ADD]
+    from bytelake.functions.kernels import Match
+
+    assert where(patching.plan_advanced(old, new, [Match(300, 500, 1000)], p))[0] == (True, 1000, 500)
+    assert (True, 500, 1500) in where(patching.plan_advanced(old, new, [Match(1300, 1500, 700)], p))  # cut to the image, too
+    assert (True, 1000, 500) not in where(patching.plan_advanced(old, new, [Match(300, 500, 1000)], patching.Profile(fast_path=0, least_similarity=0.99)))
+    filled = where(patching.plan_advanced(old, new, [Match(300, 500, 400)], p, sections=[Match(300, 500, 1500)]))
+    assert filled == [(True, 400, 500), (True, 1100, 900)]
+
+
+def test_patches_take_metadata(spark):
+    from bytelake.sources import images
+
+    line = b"%d a line of some text that goes on for a while, number 1234\n"
+    old = b"".join(line % (1000 * i) for i in range(60))
+    new = b"".join(sorted((line % (1000 * i) for i in range(60)), reverse=True)).replace(b"1234", b"5678") + b"\n\nnew end"
+    pairs = images.described(spark.createDataFrame([(1, "x", bytearray(old), bytearray(new))], "pair_id long, kind string, old binary, new binary"))
+    row = pairs.first()
+    assert len(row.symbols) == 60 and len(row.sections) == 1 and len(row.old_sites) >= 60 and row.old_sites[0].kind == "ptr"
+    some = {"symbols_col": "symbols", "sections_col": "sections", "sites_cols": ("old_sites", "new_sites")}
+    for mode in ("global", "advanced"):
+        got = patching.generate_patches(pairs, ["pair_id"], mode, patching.Profile(fast_path=0), **some).first()
+        assert got.ok
+    plain = patching.generate_patches(pairs, ["pair_id"], "advanced", patching.Profile(fast_path=0)).first()
+    assert plain.ok and plain.raw_len != got.raw_len
