@@ -354,6 +354,26 @@ def test_personal_data(spark, none):
     assert one.select(pii.redact(F.col("t"), pii.base_spans(F.col("t"), "email"))).first()[0] == "mail [redacted] now"
 
 
+def test_personal_data_in_other_forms_is_added(spark):
+    card = "4539 1488 0343 6467"
+    rows = []
+    for i in range(400):
+        rows += [
+            f"please write to ann{i}@firm{i % 7}.example.com or call +1 555 {100 + i % 800} {1000 + i} today", f"pay by card {card} from host 10.0.{i % 200}.{i % 250} now", f"order {7000000000 + 7919 * i} of 20{i % 30:02d}-0{1 + i % 9}-1{i % 9} was {i}.{10000000 + i} long",
+            f"serial {4000000000000000 + 7 * i} and 1 2 3 4 5 6 7 8 9 at 300.{i}.1.999", f"sizes {i} . {i + 1} . {i + 2} . 900 and meet @ {i} . then we",
+        ]
+    plain = len(rows)
+    more = {"phone": ["call (555) 123-4567 now", "tel 555-123-4567"], "email": ["mail to bob [at] corp [dot] org please"], "card": ["card 4539.1488.0343.6467 is mine"], "ip": ["server 10[.]1[.]2[.]3 is down"]}
+    hits = {"phone": ["(555) 123-4567", "555-123-4567"], "email": ["bob [at] corp [dot] org"], "card": ["4539.1488.0343.6467"], "ip": ["10[.]1[.]2[.]3"]}
+    rows += [t for k in more for t in more[k]]
+    got = {r.doc_id: r for r in pii.find_personal_data(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()}
+    added = {rows[i][a:b] for i, r in got.items() if i >= plain for k in pii.KINDS for a, b in r[f"more_{k}"]}
+    assert added == {h for k in hits for h in hits[k]}
+    for i, k in enumerate([k for k in more for _ in more[k]], plain):
+        assert len(got[i][f"more_{k}"]) == 1
+    assert [(rows[i], k) for i, r in got.items() if i < plain for k in pii.KINDS if r[f"more_{k}"]] == []
+
+
 def test_boosting():
     rng = np.random.default_rng(1)
     x = rng.random((2000, 3))
