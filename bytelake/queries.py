@@ -686,7 +686,7 @@ def q_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def q_resources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return patching.resources(patching.instructions(patches(spark, sf_dir, kinds=("small",)), ["pair_id"]), ["pair_id"])
+    return patching.resources(patching.instructions(patches(spark, sf_dir), ["pair_id", "kind"]), ["pair_id", "kind"])
 
 
 @query(f"""

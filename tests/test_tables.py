@@ -101,3 +101,10 @@ def test_sources_and_sinks(spark, tmp_path):
     made = patching.frames(images.read_images(spark, str(tmp_path)), ["image_id"], "bytes", payload=128)
     made.write.parquet(str(tmp_path / "frames"))
     assert sorted((r.frame_no, len(r.payload)) for r in spark.read.parquet(str(tmp_path / "frames")).collect()) == [(0, 128), (1, 128), (2, 44)]
+
+
+def test_resources_of_every_mutation(spark):
+    rows = own.q_resources(spark, SF).select("pair_id", "kind").collect()
+    ids = {r.image_id for r in own.documents(spark, SF).where("octet_length(bytes) > 0").collect()}
+    assert len(rows) == len(set(rows)) and {r.kind for r in rows} == set(images.MUTATIONS)
+    assert {(r.pair_id, r.kind) for r in rows} >= {(i, k) for i in ids for k in images.MUTATIONS}
