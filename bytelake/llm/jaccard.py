@@ -380,19 +380,48 @@ def ngram_jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     final = components(links)
     grouped = reps.join(final, reps["key"] == final["v"], "left").select("key", "rep", F.coalesce("c", "key").alias("label"))
     least = grouped.groupBy("label").agg(F.min("rep").alias("component"))
-    of = grouped.join(least, "label").select("key", "component")
+    of = grouped.join(least, "label").select("key", "component", "label")
     known = lambda c: F.when(c != NO_ID, c)
     membership = sets.drop("prefix", "bits").join(of, "key", "left").select(
-        known(F.col("doc_id")).alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), "key", known(F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id"))).alias("component_id")
+        known(F.col("doc_id")).alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), "key", known(F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id"))).alias("component_id"), F.when(F.col("n") > 0, F.col("label")).alias("label")
     )
     return links, membership
 
 
-def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
-    """The rows of docs, all columns, that stay when each group of linked documents keeps its smallest identifier.
+def with_set_key(docs: DataFrame, k: int) -> DataFrame:
+    """Adds __n and __key, the size and name of a row's set, as in the join."""
+    from pyspark.sql.types import LongType, StructType
 
-    Documents without words stay, as do rows with a null identifier; rows that share an identifier stay together.
+    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler = Shingler(k)
+        for b, texts in texts_of(batches):
+            sets = [shingler.tokens(t) for t in texts]
+            added = [pa.array([t.size for t in sets], type=pa.int64()), pa.array([set_key(t) for t in sets], type=pa.int64())]
+            yield pa.RecordBatch.from_arrays([*b.columns, *added], names=[*b.schema.names, "__n", "__key"])
+
+    return docs.mapInArrow(own, StructType([*docs.schema.fields]).add("__n", LongType()).add("__key", LongType()))
+
+
+def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = 5, **options) -> DataFrame:
+    """The rows of docs, all columns, that stay when each group of linked documents keeps one row, that with its smallest
+    identifier (null last), of these the one with the smallest set key, of these the first by text and other columns.
+
+    Documents without words stay. Only rows whose identifier is null or repeated are shingled again, to tell them apart.
     """
-    member = ngram_jaccard_join(docs, id_col=id_col, **options)[1]
-    kept = member.where("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct()
-    return docs.join(kept, F.col(id_col).cast("long") == F.col("__kept"), "left_semi").unionByName(docs.where(F.col(id_col).isNull()))
+    member = ngram_jaccard_join(docs, id_col=id_col, text_col=text_col, k=k, **options)[1]
+    member = materialize(member.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("__id"), F.col("key").alias("__key"), "label"), "member")
+    shared = materialize(member.groupBy("__id").agg(F.count("*").alias("n")).where(f"n > 1 OR __id = {NO_ID}").select("__id"), "shared")
+    first = member.where("label IS NOT NULL").groupBy("label").agg(F.min(F.struct("__id", "__key")).alias("top")).select("top.*")
+    wordless = member.where("label IS NULL").select("__id")
+    rows = docs.withColumn("__id", F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)))
+    alone = first.select("__id").unionByName(wordless).join(shared, "__id", "left_anti")
+    kept = rows.join(alone, "__id", "left_semi").drop("__id")
+    if shared.isEmpty():
+        return kept
+    # Nulls need no join, which would deal them all to one task.
+    null, some = rows.where(f"__id = {NO_ID}"), rows.where(f"__id <> {NO_ID}").join(shared, "__id", "left_semi")
+    columns = {c: F.col("`" + c.replace("`", "``") + "`") for c in docs.columns}
+    unclear = null.unionByName(some).select("__id", columns[text_col].alias("text"), F.struct(*columns.values()).alias("row"))
+    unclear = materialize(with_set_key(unclear, k), "unclear")
+    best = unclear.where("__n > 0").join(first, ["__id", "__key"], "left_semi").groupBy("__id", "__key").agg(F.min_by("row", F.struct("text", F.to_json("row"))).alias("row"))
+    return kept.unionByName(best.select("row.*")).unionByName(unclear.where("__n = 0").select("row.*"))

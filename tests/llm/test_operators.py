@@ -276,6 +276,18 @@ def test_jaccard_join(spark, docs, none):
     assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None and 6 <= r.doc_id < 60 and r.doc_id not in (10, 11, 12)) == [6]
 
 
+def test_one_of_each_with_null_and_repeated_identifiers(spark):
+    rng = random.Random(8)
+    a, b, c = (prose(rng, 60) for _ in range(3))
+    near = lambda t: t + " end"
+    rows = [(None, a, 1), (None, near(a), 2), (None, a, 3), (1, b, 4), (None, near(b), 5), (2, near(b), 6), (2, c, 7), (2, c, 8), (3, near(c), 9), (None, "", 10), (None, None, 11), (2, " ", 12), (7, "", 13), (2, c, 7)]
+    kept = jaccard.one_of_each(spark.createDataFrame(rows, "doc_id long, text string, n int").repartition(3))
+    got = sorted(tuple(r) for r in kept.select("n", "doc_id").collect())
+    # one row of each group (a: both identifiers null, either text; b: 1; c: 2), and those without words
+    assert [x for x in got if x[0] > 3] == [(4, 1), (7, 2), (10, None), (11, None), (12, 2), (13, 7)] and len([x for x in got if x[0] <= 3]) == 1
+    assert kept.columns == ["doc_id", "text", "n"]
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_jaccard_join_on_families(spark, seed):
     rng = random.Random(seed)
