@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from bytelake.llm.common import fold_ascii, text_or_empty, words
 
 LARGEST = (1 << 63) - 1
+#: Share of the hash range that a sketch keeps: half, for texts of some fifty words to have about 24 hashes.
+FRACTION = 1 / 2
 #: Null identifiers stand first.
 FIRST = -(1 << 63)
 
@@ -19,7 +21,7 @@ def shingle_hashes(w: Column, k: int = 5) -> Column:
     return F.when(F.size(w) == 0, F.array().cast("array<bigint>")).when(F.size(w) < k, F.array(whole.bitwiseAND(F.lit(LARGEST)))).otherwise(runs)
 
 
-def with_sketch(df: DataFrame, text: Column, name: str, *, k: int = 5, fraction: float = 1 / 8) -> DataFrame:
+def with_sketch(df: DataFrame, text: Column, name: str, *, k: int = 5, fraction: float = FRACTION) -> DataFrame:
     """Adds the sketch of a text: distinct hashes below fraction of the range, ascending, and always the smallest one,
     so only a text without words has an empty sketch."""
     w, h = f"__{name}_words", f"__{name}_hashes"
@@ -32,7 +34,7 @@ def retained(hashes: Column, fraction: float) -> Column:
     return F.when(F.size(hashes) == 0, hashes).otherwise(F.sort_array(F.array_distinct(F.array_append(below, F.array_min(hashes)))))
 
 
-def merge(a: Column, b: Column, fraction: float = 1 / 8) -> Column:
+def merge(a: Column, b: Column, fraction: float = FRACTION) -> Column:
     """The sketch of two texts taken together."""
     return retained(F.array_union(a, b), fraction)
 
@@ -90,7 +92,7 @@ def with_next(docs: DataFrame, rows: int = 2048) -> DataFrame:
     return dealt.withColumn("next_text", follow).where("ghost = 0").select("key", "doc_id", "text", "next_text")
 
 
-def fingerprint_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = 5, fraction: float = 1 / 8) -> DataFrame:
+def fingerprint_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = 5, fraction: float = FRACTION) -> DataFrame:
     """Fingerprints of every whole text, of its edited text, and their likeness and containment, also to the next document.
 
     The edited text has the last floor(n_chars / 2) code points replaced by the first as many (or all) of the next

@@ -222,6 +222,15 @@ def test_fingerprints(spark, docs, none):
     assert pair.m == pair.sz
 
 
+def test_likeness_of_short_texts(spark):
+    rng = random.Random(4)
+    pairs = [(a := prose(rng, 52).split(), a[:40] + prose(rng, 12).split()) for _ in range(200)]
+    d = spark.createDataFrame([(i, " ".join(a), " ".join(b)) for i, (a, b) in enumerate(pairs)], "i int, a string, b string")
+    d = fingerprint.with_sketch(fingerprint.with_sketch(d, F.col("a"), "x"), F.col("b"), "y").select("i", fingerprint.likeness(F.col("x"), F.col("y")).alias("j")).collect()
+    true = [len(shingles(" ".join(a)) & shingles(" ".join(b))) / len(shingles(" ".join(a)) | shingles(" ".join(b))) for a, b in pairs]
+    assert sum(abs(r.j - true[r.i]) for r in d) / len(d) < 0.08
+
+
 def test_next_over_many_ranges(spark):
     rng = random.Random(9)
     ids = sorted({*range(500), *(rng.randrange(1 << 40) for _ in range(500)), -5, 1 << 62})
