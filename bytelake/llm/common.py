@@ -15,10 +15,12 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach: spark.checkpoint.dir; a temporary one only where it is unset (tests)."""
+    """The folder every executor can reach: spark.checkpoint.dir; where it is unset, a temporary one, in local mode (tests) only."""
     sc = spark.sparkContext
     base = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not base:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         base = tempfile.mkdtemp(prefix="bytelake-")
         sc.setCheckpointDir(base)
     return base.rstrip("/")
@@ -32,6 +34,14 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete materialized tables that nothing will read again."""
+    jvm = tables[0].sparkSession.sparkContext._jvm
+    for folder in {f.rsplit("/", 2)[0] for t in tables for f in t.inputFiles()}:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(tables[0].sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
 def named(column: str, prefix: str = "") -> Column:
     """A column by its name, whatever characters are in it."""
     quoted = column.replace("`", "``")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bytelake.llm.common import materialize
+from bytelake.llm.common import discard, materialize
 
 
 def components(links: DataFrame, most_rounds: int = 64) -> DataFrame:
@@ -21,9 +21,11 @@ def components(links: DataFrame, most_rounds: int = 64) -> DataFrame:
         step = labels.join(near, "v").select("v", F.col("c").alias("was"), F.least("c", "m").alias("c"))
         jump = step.join(labels.select(F.col("v").alias("c"), F.col("c").alias("up")), "c", "left").select("v", "was", F.least("c", F.coalesce("up", "c")).alias("c"))
         made = materialize(jump, "labels")
+        discard(labels)
         labels = made.select("v", "c")
         if not made.where("c <> was").take(1):
             break
     else:
         raise RuntimeError("components didn't settle")
+    discard(both)
     return labels

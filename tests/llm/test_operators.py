@@ -313,15 +313,32 @@ def test_jaccard_join_on_families(spark, seed):
     assert collections.Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute_components(rows)
 
 
-def test_signature_tree_loses_nothing():
+def test_signature_trees_lose_nothing():
     rng = np.random.default_rng(4)
-    for words in (1, 4, 32):
-        base = [np.unique(rng.integers(0, 1 << 63, rng.integers(5, 200), dtype=np.uint64)) for _ in range(20)]
-        sets = [np.unique(np.where(rng.random(len(b)) < 0.05, rng.integers(0, 1 << 63, len(b), dtype=np.uint64), b)) for b in base for _ in range(5)]
-        bits = [jaccard.bitmap(s, words)[: 8 * words] if len(jaccard.bitmap(s, words)) == 8 * words else jaccard.folded(np.frombuffer(jaccard.bitmap(s, words), dtype="<u8"), words).tobytes() for s in sets]
-        found = set(jaccard.search_tree(np.arange(100), np.array([len(s) for s in sets]), np.arange(100), bits))
-        true = {(i, j) for i in range(100) for j in range(i + 1, 100) if jaccard.alike(sets[i], sets[j])}
-        assert true <= found and true
+    for words, copies in ((1, 5), (4, 5), (32, 5), (4, 1), (4, 40)):
+        base = [np.unique(rng.integers(0, 1 << 63, rng.integers(5, 600), dtype=np.uint64)) for _ in range(20)]
+        sets = [np.unique(np.where(rng.random(len(b)) < 0.05, rng.integers(0, 1 << 63, len(b), dtype=np.uint64), b)) for b in base for _ in range(copies)]
+        n, sizes, bits = len(sets), [len(s) for s in sets], [jaccard.bitmap(s, words) for s in sets]
+        true = {(i, j) for i in range(n) for j in range(i + 1, n) if jaccard.alike(sets[i], sets[j])}
+        every, forest, few = (jaccard.Proposals(list(range(n)), most) for most in (1 << 62, 0, 1 << 62))
+        every.search(np.array(sizes), bits)
+        forest.search(np.array(sizes), bits)
+        few.few(sizes, bits)
+        ordered = {(min(p), max(p)) for p in every.found}
+        assert true <= ordered == {(min(p), max(p)) for p in few.found} and not every.more
+        # the forest connects what the pairs connect, with as few of them as can be
+        assert {(min(p), max(p)) for p in forest.found} <= ordered and all(forest.root(i) == forest.root(j) for i, j in ordered)
+        assert len(forest.found) == n - len({forest.root(i) for i in range(n)})
+
+
+def test_jaccard_join_in_salted_and_cut_trees(spark):
+    rng = random.Random(5)
+    base = prose(rng, 80).split()
+    rows = [(i, " ".join(w if rng.random() > rate else rng.choice(WORDS) for w in base)) for rate in (0.0, 0.01, 0.05, 0.1) for i in range(int(rate * 1000), int(rate * 1000) + 40)]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    for options in ({"hot_rows": 10, "block": 12}, {"block": 6, "rounds": (1, 3, 1 << 62)}, {"hot_rows": 3, "block": 2, "rounds": (1, 1 << 62)}):
+        got = jaccard.ngram_jaccard_join(d, **options)[1].collect()
+        assert collections.Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute_components(rows)
 
 
 def test_components(spark):
