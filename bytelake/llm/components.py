@@ -29,3 +29,16 @@ def components(links: DataFrame, most_rounds: int = 64) -> DataFrame:
         raise RuntimeError("components didn't settle")
     discard(both)
     return labels
+
+
+def extended(labels: DataFrame | None, links: DataFrame) -> DataFrame:
+    """components() of the links that made ``labels`` and of further ones, from those between the components alone."""
+    if labels is None:
+        return components(links)
+    named = lambda side: labels.select(F.col("v").alias(side), F.col("c").alias(f"c_{side}"))
+    ends = links.join(named("a"), "a", "left").join(named("b"), "b", "left").select(F.coalesce("c_a", "a").alias("a"), F.coalesce("c_b", "b").alias("b"))
+    top = components(ends.where("a <> b").distinct())
+    renamed = labels.join(top.select(F.col("v").alias("c"), F.col("c").alias("up")), "c", "left").select("v", F.coalesce("up", "c").alias("c"))
+    out = materialize(renamed.unionByName(top.join(labels, "v", "left_anti")), "labels")
+    discard(labels, top)
+    return out

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bytelake.llm.common import discard, materialize
-from bytelake.llm.components import components
+from bytelake.llm.components import extended
 
 #: Stands for a null identifier: the largest.
 NO_ID = (1 << 63) - 1
@@ -298,7 +298,7 @@ class Proposals:
 
     With ``most`` = 0 a pair that may be alike makes one component of two for the rest of the search, so there is at
     most one pair less than there are sets. Else at most ``most`` pairs for two components; ``more`` tells whether
-    some were left out. Sets whose sizes may be alike have bitmaps of one length, or one twice the other's: there is
+    some may be left out. Sets whose sizes may be alike have bitmaps of one length, or one twice the other's: there is
     a tree for each length, which holds the next longer ones too, folded.
     """
 
@@ -326,6 +326,7 @@ class Proposals:
         else:
             self.parent[max(a, b)] = min(a, b)
         self.found.append((i, j))
+        self.more |= not self.most
         return not self.most
 
     def few(self, sizes: list[int], bits: list[bytes]) -> None:
@@ -406,7 +407,7 @@ def in_parts(key: str, parts: F.Column) -> F.Column:
     return F.pmod(F.xxhash64(key), parts).cast("int")
 
 
-def ngram_jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = 5, most_frequent: int = 1 << 17, hot_rows: int = 100_000, block: int = 2000, rounds: tuple[int, ...] = (256, 1 << 16, 1 << 62)) -> tuple[DataFrame, DataFrame]:
+def ngram_jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = 5, most_frequent: int = 1 << 17, hot_rows: int = 100_000, block: int = 2000, rounds: tuple[int, ...] = (0, 16, 1 << 62)) -> tuple[DataFrame, DataFrame]:
     """Links between different sets, and the membership of every document.
 
     Returns (links, membership). links: (a, b), names of sets; of the links inside a group of alike sets enough to
@@ -450,12 +451,13 @@ def ngram_jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     # root: the token itself; the trees of a salted token have one root.
     member = materialize(routed.join(trees.select("tree", "members", F.coalesce("root", "tree").alias("root")), "tree").distinct(), "members")
     reps = sets.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("rep"))
-    tested, links = [], []
+    tested, links, labels = [], [], None
 
     def grouped(rows: DataFrame, most: int) -> DataFrame:
         return materialize(proposed(rows.join(marks, "key"), most), "proposals")
 
     def compare(proposals: DataFrame) -> None:
+        nonlocal labels
         pairs = proposals.where("NOT more").select("a", "b")
         if tested:
             pairs = materialize(pairs.join(every(tested), ["a", "b"], "left_anti"), "pairs")
@@ -463,6 +465,7 @@ def ngram_jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
         texts = texts_for(pairs, docs, reps, k)
         links.append(materialize(verified(pairs, texts, k), "links"))
         discard(texts)
+        labels = extended(labels, links[-1])
 
     def every(tables: list[DataFrame]) -> DataFrame:
         return reduce(DataFrame.unionByName, tables)
@@ -473,32 +476,29 @@ def ngram_jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     compare(grouped(home.select(*alone, "i", F.lit(0).alias("j"), "key", "n", F.col("key").alias("label")), 0))
     cut = home.where((F.col("members") > block) | (F.col("root") != F.col("tree")))
     if cut.take(1):
-        ends = cut.join(components(every(links)), cut["key"] == F.col("v"), "left").groupBy("root", F.coalesce("c", "key").alias("label")).agg(F.min(F.struct("key", "n")).alias("lo"), F.max(F.struct("key", "n")).alias("hi"), F.count("*").alias("c")).where("c > 1")
+        ends = cut.join(labels, cut["key"] == F.col("v"), "left").groupBy("root", F.coalesce("c", "key").alias("label")).agg(F.min(F.struct("key", "n")).alias("lo"), F.max(F.struct("key", "n")).alias("hi"), F.count("*").alias("c")).where("c > 1")
         ends = materialize(ends.select("root", "label", F.explode(F.array("lo", "hi")).alias("e")).select("root", "label", "e.*"), "ends")
         ends = ends.join(ends.groupBy("root").agg(F.ceil(F.count("*") / block).alias("parts")), "root").withColumnRenamed("root", "tree")
         compare(grouped(ends.select(*alone, in_parts("key", F.col("parts")).alias("i"), F.lit(0).alias("j"), "key", "n", "label"), 0))
     rest = member
     for most in rounds:
-        labels = components(every(links))
         roots, rows = open_groups(rest, labels, block)
         left = grouped(in_blocks(rows, block), most)
         compare(left)
-        discard(labels, rows)
+        discard(rows)
         more = left.where("more").select(F.col("a").cast("int").alias("kind"), F.col("b").alias("g"))
         if not more.take(1):
             break
         rest = rest.join(roots.join(more, ["kind", "g"], "left_semi").select("root"), "root", "left_semi")
-    links = materialize(every(links), "links")
     discard(member, home)
-    final = components(links)
-    named = reps.join(final, reps["key"] == final["v"], "left").select("key", "rep", F.coalesce("c", "key").alias("label"))
+    named = reps.join(labels, reps["key"] == labels["v"], "left").select("key", "rep", F.coalesce("c", "key").alias("label"))
     least = named.groupBy("label").agg(F.min("rep").alias("component"))
     of = named.join(least, "label").select("key", "component", "label")
     known = lambda c: F.when(c != NO_ID, c)
     membership = sets.drop("prefix", "bits").join(of, "key", "left").select(
         known(F.col("doc_id")).alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), "key", known(F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id"))).alias("component_id"), F.when(F.col("n") > 0, F.col("label")).alias("label")
     )
-    return links, membership
+    return every(links), membership
 
 
 def open_groups(member: DataFrame, labels: DataFrame, block: int) -> tuple[DataFrame, DataFrame]:
