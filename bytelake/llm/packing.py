@@ -17,6 +17,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from bytelake.llm.common import materialize
+
 #: How byte-level BPE splits a text before merging, and the one special string of the vocabulary.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 SPECIAL = "<|endoftext|>"
@@ -130,20 +132,40 @@ def windows(sizes: list[int], capacity: int) -> list[list[int]]:
         k += 1
 
 
-def pack_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", capacity: int = 2048, piece: int = 512, block_windows: int = 64, slack: int = 16, end_id: int = 1, tokenizer_path: str | None = None) -> DataFrame:
+def settle(rests: list[tuple], first: int, capacity: int, out: list[tuple]) -> int:
+    """Deals pieces (doc_id, start, length, ...) out to windows numbered from ``first`` on, adds them to out, clears them; how many windows."""
+    made = 0
+    for group in windows([r[2] for r in rests], capacity):
+        at, size = 0, sum(rests[i][2] for i in group)
+        for i in sorted(group):
+            out.append((*rests[i], first + made, at, size))
+            at += rests[i][2]
+        made += 1
+    rests.clear()
+    return made
+
+
+def batch_of(out: list[tuple]) -> pa.RecordBatch:
+    rows = pa.RecordBatch.from_arrays([pa.array(c, type=pa.int64()) for c in zip(*out, strict=True)], names=[c.split()[0] for c in SCHEMA.split(", ")])
+    out.clear()
+    return rows
+
+
+def pack_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", capacity: int = 2048, piece: int = 512, block_windows: int = 64, slack: int = 16, pool: int = 64, end_id: int = 1, tokenizer_path: str | None = None) -> DataFrame:
     """Pieces of tokenised documents and their place in sequences of at most ``capacity`` tokens.
 
     A document is its ids and then end_id. Whole windows are cut from it first; the rest is cut into pieces of at
     most ``piece`` tokens. Each task packs its own rows: when the rests of a block fill block_windows windows but for
     ``slack`` tokens each (the last piece is cut there), Karmarkar-Karp differencing deals them out to near-equal
-    windows. Only the last block of a task has another total, and is padded by up to a window more.
+    windows. What a task has left, under a block, goes to a pool with that of the other tasks of its ``pool``
+    neighbours, and is packed there, block by block: so small tasks cost no padding.
 
     Returns (doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, sequence_length). Each id lies in
-    exactly one piece; sequence_id is (partition, running number), so tasks need no word of each other and a task
-    that runs again gives the same rows. Memory: one batch of texts, and the rests of one block.
+    exactly one piece; sequence_id is (partition, running number), or 2 ** 62 and (pool, running number). The tasks'
+    pieces, not their texts or ids, lie as a table in the shared folder. Memory: one batch of texts, and the rests of one block.
 
     Defined cases: null text is empty, one piece with end_id alone; null or repeated identifiers are kept as they
-    are, each row a document; an empty table gives no rows. Other columns are not read. No shuffle.
+    are, each row a document; an empty table gives no rows. Other columns are not read. Only the pools' pieces are shuffled.
     """
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,22 +175,6 @@ def pack_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
         rests: list[tuple] = []
         held, full = 0, block_windows * max(1, capacity - slack)
 
-        def settle() -> None:
-            nonlocal made, held
-            for group in windows([r[2] for r in rests], capacity):
-                at, size = 0, sum(rests[i][2] for i in group)
-                for i in sorted(group):
-                    out.append((*rests[i], base + made, at, size))
-                    at += rests[i][2]
-                made += 1
-            rests.clear()
-            held = 0
-
-        def batch() -> pa.RecordBatch:
-            rows = pa.RecordBatch.from_arrays([pa.array(c, type=pa.int64()) for c in zip(*out, strict=True)], names=[c.split()[0] for c in SCHEMA.split(", ")])
-            out.clear()
-            return rows
-
         for b in batches:
             for doc, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 ids = encoder.ids(text.as_py() or "") + last
@@ -182,11 +188,35 @@ def pack_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
                     rests.append((doc, start, size, zlib.crc32(view[4 * start : 4 * (start + size)]), n))
                     start, held = start + size, held + size
                     if held >= full:
-                        settle()
+                        made += settle(rests, base + made, capacity, out)
+                        held = 0
+                if len(out) >= 20_000:
+                    yield batch_of(out)
+        # Left for the pool: a negative sequence_id, and the order in the task as offset.
+        out += [(*r, -1 - (base >> 33), i, 0) for i, r in enumerate(rests)]
+        if out:
+            yield batch_of(out)
+
+    def pack_pools(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple] = []
+        rests: list[tuple] = []
+        at, held, made = None, 0, 0
+        for b in batches:
+            for which, *piece_of, _, _ in zip(*[c.to_pylist() for c in b.columns], strict=True):
+                if which != at or held + piece_of[2] > block_windows * max(1, capacity - slack):
+                    made += settle(rests, 1 << 62 | (at or 0) << 33 | made, capacity, out)
+                    held = 0
+                if which != at:
+                    at, made = which, 0
+                rests.append(tuple(piece_of))
+                held += piece_of[2]
                 if len(out) >= 20_000:
-                    yield batch()
-        settle()
+                    yield batch_of(out)
+        settle(rests, 1 << 62 | (at or 0) << 33 | made, capacity, out)
         if out:
-            yield batch()
+            yield batch_of(out)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(pack, SCHEMA)
+    pieces = materialize(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(pack, SCHEMA), "pieces")
+    left = pieces.where("sequence_id < 0").select(F.expr(f"(-1 - sequence_id) div {pool}").alias("pool"), "doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+    pooled = left.repartition("pool").sortWithinPartitions("pool", F.desc("sequence_id"), "offset").mapInArrow(pack_pools, SCHEMA)
+    return pieces.where("sequence_id >= 0").unionByName(pooled)
