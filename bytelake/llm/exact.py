@@ -18,8 +18,9 @@ def content_sort_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     Plan: one shuffle of the texts. Sampled splitters on (first 32 characters, digest, salt) deal them out, so the
     sampled keys stay small whatever the texts' length; each task sorts its share externally and rows with equal
     keys and equal whole texts form a run. A text whose copies exceed max(block_rows, rows / 10,000) is "hot": there
-    are at most 10,000 such texts, so their list (from a map-side combined count by digest) may be broadcast; their
-    copies are salted over blocks of about block_rows and take size and survivor from that count.
+    are at most 10,000 such texts, so their list may be broadcast; their copies are salted over blocks of about
+    block_rows. Size and survivor of hot texts come from a second pass over those rows alone, combined in each task
+    by the whole text before anything is shuffled. A digest never decides that two texts are equal.
 
     Defined cases: a null text is empty; empty texts are equal to each other. Null identifiers lose against any
     other; if a group has only null identifiers, keep_id is null and one of its rows stays. Rows that repeat an
@@ -32,7 +33,12 @@ def content_sort_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
         F.col(id_col).alias("doc_id"), text.alias("text"), *([F.struct(*[named(c) for c in carry if c != text_col]).alias("rest")] if carry else []), *([F.col(text_col).isNull().alias("void")] if carry else [])
     ).withColumn("text_sha256", F.sha2(fold_ascii(F.col("text")), 256))
     least = max(block_rows, docs.count() // 10_000)
-    hot = rows.groupBy("text_sha256").agg(F.count("*").alias("hot_size"), best("doc_id").alias("hot_keep")).where(F.col("hot_size") > least)
+    many = rows.groupBy("text_sha256").agg(F.count("*").alias("n")).where(F.col("n") > least).select("text_sha256")
+    many = [r[0] for r in many.collect()]  # at most 10,000
+    listed = F.broadcast(docs.sparkSession.createDataFrame([(x,) for x in many], "text_sha256 string"))
+    copies = rows.join(listed, "text_sha256").groupBy("text_sha256", fold_ascii(F.col("text")).alias("norm")).agg(F.count("*").alias("hot_size"), best("doc_id").alias("hot_keep"))
+    # Of different texts with one digest, none is hot here: their rows go without salt.
+    hot = copies.withColumn("texts", F.count("*").over(Window.partitionBy("text_sha256"))).where("texts = 1").select("text_sha256", "hot_size", "hot_keep")
     dealt = (
         rows.join(F.broadcast(hot), "text_sha256", "left")
         .withColumn("salt", F.when(F.col("hot_size").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("hot_size") / block_rows))).cast("long"))
