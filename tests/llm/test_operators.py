@@ -6,6 +6,7 @@ import collections
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -13,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from bytelake.llm import boosting, chat, exact, fingerprint, jaccard, mixing, packing, pii, quality, sharding, warc
-from bytelake.llm.components import components
+from bytelake.llm.components import components, extended
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, kept boolean, size long, row string, key string, n long, score double, salt int, `odd name.x` int"
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon".split()
@@ -94,6 +95,16 @@ def test_encoder_agrees_with_tokenizer(text):
     assert e.ids(text) == e.whole(text) == e.ids(text)
 
 
+def test_little_padding_on_many_small_partitions(spark):
+    rng = random.Random(12)
+    docs = spark.createDataFrame([(i, prose(rng, rng.randrange(1, 400))) for i in range(1000)], "doc_id long, text string")
+    for parts in (1, 70):
+        rows = packing.pack_documents(docs.repartition(parts)).collect()
+        used, sequences = sum(r.length for r in rows), {r.sequence_id for r in rows}
+        assert 1 - used / (2048 * len(sequences)) < 0.025
+        assert sum(r.doc_tokens for r in rows if r.start == 0) == used and all(r.sequence_id >= 0 for r in rows)
+
+
 def test_differencing_is_near_equal():
     rng = random.Random(1)
     sizes = [rng.randrange(1, 513) for _ in range(300)]
@@ -331,12 +342,25 @@ def test_signature_trees_lose_nothing():
         assert len(forest.found) == n - len({forest.root(i) for i in range(n)})
 
 
+def test_most_links_come_from_tree_traversal(spark, monkeypatch):
+    """The traversal alone proposes the pairs that are compared: at most one for each set before components are known."""
+    rng, sizes = random.Random(11), []
+    rows = [(100 * f + c, " ".join(w if rng.random() > 0.004 else rng.choice(WORDS) for w in base)) for f in range(6) for base in [prose(rng, 120).split()] for c in range(40)]
+    whole = jaccard.verified
+    monkeypatch.setattr(jaccard, "verified", lambda pairs, texts, k: (sizes.append(pairs.count()), whole(pairs, texts, k))[1])
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    links, member = jaccard.ngram_jaccard_join(d)
+    assert collections.Counter((r.doc_id, r.n_shingles, r.component_id) for r in member.collect()) == brute_components(rows)
+    need = member.select("key").distinct().count() - member.select("component_id").distinct().count()
+    assert sizes[0] <= len(rows) and sum(sizes) < 2 * len(rows) and 100 < need <= links.count()
+
+
 def test_jaccard_join_in_salted_and_cut_trees(spark):
     rng = random.Random(5)
     base = prose(rng, 80).split()
     rows = [(i, " ".join(w if rng.random() > rate else rng.choice(WORDS) for w in base)) for rate in (0.0, 0.01, 0.05, 0.1) for i in range(int(rate * 1000), int(rate * 1000) + 40)]
     d = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
-    for options in ({"hot_rows": 10, "block": 12}, {"block": 6, "rounds": (1, 3, 1 << 62)}, {"hot_rows": 3, "block": 2, "rounds": (1, 1 << 62)}):
+    for options in ({"block": 6, "rounds": (1, 3, 1 << 62)}, {"hot_rows": 5, "block": 4, "rounds": (1, 1 << 62)}):
         got = jaccard.ngram_jaccard_join(d, **options)[1].collect()
         assert collections.Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute_components(rows)
 
@@ -346,6 +370,9 @@ def test_components(spark):
     got = {r.v: r.c for r in components(links).collect()}
     assert got == {i: 0 for i in range(51)} | {100: 100, 150: 100, 200: 100}
     assert components(links.limit(0)).count() == 0
+    more = spark.createDataFrame([(30, 150), (500, 400), (3, 4), (50, 600)], "a long, b long")
+    whole = {r.v: r.c for r in components(links.unionByName(more)).collect()}
+    assert {r.v: r.c for r in extended(components(links), more).collect()} == whole and whole[200] == 0 and whole[500] == 400
 
 
 # Personal data
@@ -412,6 +439,32 @@ def test_personal_data_in_other_forms_is_added(spark):
     assert [(rows[i], k) for i, r in got.items() if i < plain for k in pii.KINDS if r[f"more_{k}"]] == []
 
 
+def test_personal_data_in_linear_time(spark, none):
+    """Thousands of spans in one text: places, what they overlap, and the redacted text."""
+    n = 6000
+    text = " ".join(f"user{i}@mail{i % 7}.org é" if i % 3 else f"+1 (555) 010-{i:04d}" for i in range(n))
+    started = time.time()
+    row = pii.find_personal_data(spark.createDataFrame([(1, text), (2, "")], "doc_id long, text string")).where("doc_id = 1").first()
+    assert [(s.start, s.end) for s in row.base_email] == [m.span() for m in re.finditer(r"user[0-9]+@mail[0-9]\.org", text)]
+    assert len(row.base_phone) == n / 3 and time.time() - started < 120
+    spans = sorted([(s.start, s.end) for k in ("email", "phone") for s in row[f"base_{k}"]])
+    d = spark.createDataFrame([(text, spans), ("", []), ("héllo", []), ("abc", [(0, 3)])], "text string, spans array<struct<start:int,end:int>>")
+    got = [r[0] for r in d.select(pii.redact(F.col("text"), F.col("spans"), "#", piece=50)).collect()]
+    want, at = [], 0
+    for a, b in spans:
+        want, at = [*want, text[at:a], "#"], b
+    assert got == ["".join(want) + text[at:], "", "héllo", "#"]
+
+
+def test_overlapping(spark):
+    rng = random.Random(3)
+    span = lambda: (lambda a: (a, a + rng.randrange(1, 6)))(rng.randrange(300))
+    rows = [([span() for _ in range(rng.randrange(150))], [span() for _ in range(rng.randrange(40))]) for _ in range(6)]
+    d = spark.createDataFrame(rows, "x array<struct<start:int,end:int>>, y array<struct<start:int,end:int>>")
+    got = [r[0] for r in d.select(pii.overlapping(F.col("x"), F.col("y"))).collect()]
+    assert got == [[any(a < d and c < b for c, d in y) for a, b in x] for x, y in rows]
+
+
 def test_boosting():
     rng = np.random.default_rng(1)
     x = rng.random((2000, 3))
