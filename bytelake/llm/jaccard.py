@@ -443,7 +443,7 @@ def ngram_jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     shared = routed.distinct().groupBy("tree").agg(F.count("*").alias("members"), F.bit_xor(F.xxhash64("key")).alias("x"), F.bit_xor(F.xxhash64("key", F.lit(1))).alias("y"))
     hot = [(t, -(-n // hot_rows)) for t, n in frequent if n > hot_rows]
     if hot:
-        salted = docs.sparkSession.createDataFrame(hot, "root long, salts long").select("root", F.expr("explode(sequence(0L, salts - 1)) ^ root").alias("tree"))
+        salted = docs.sparkSession.createDataFrame(hot, "root long, salts long").select("root", F.expr("explode(sequence(0L, salts - 1))").alias("salt")).select("root", F.expr("root ^ salt").alias("tree"))
         shared = shared.join(salted, "tree", "left")
     else:
         shared = shared.withColumn("root", F.lit(None).cast("long"))
