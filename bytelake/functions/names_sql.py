@@ -11,6 +11,8 @@ GOOD_WORDS = ("main", "init", "handler", "isr", "task", "function", "interrupt")
 NOT_FUNCTIONS = ("$", ".L", "__", "@")
 BRANCHES = ("B", "BL", "BX", "BEQ", "BNE", "BPL", "BMI", "BCC", "BCS", "BHS", "BLO", "BVS", "BVC", "BHI", "BLS", "BGE", "BGT", "BLE", "BLT")
 CLASSES = (("BR", ("B", "BL", "BX", "BLX", "CBZ", "CBNZ")), ("ALU", ("ADD", "ADC", "SUB", "SBC", "RSB", "MUL", "MLA")), ("MOV", ("MOV", "MVN")), ("CMP", ("CMP", "CMN", "TST", "TEQ")), ("STACK", ("PUSH", "POP", "STM", "LDM")))
+#: What of operands is replaced, in this order: a comment, an immediate, another address, white space.
+OPERAND_RULES = ((r";[\s\S]*$", ""), (r"#-?(0x[0-9a-fA-F]+|[0-9]+)", "#IMM"), (r"0x[0-9a-fA-F]+", "IMM"), (r"\s+", " "))
 
 
 def starts(name: Column, prefixes: tuple[str, ...]) -> Column:
@@ -41,10 +43,10 @@ def mnemonic_class(mnemonic: Column) -> Column:
 
 def operand_text(operands: Column) -> Column:
     """Operands without comment, immediates as IMM, single spaces."""
-    text = F.regexp_replace(operands, r";[\s\S]*$", "")
-    text = F.regexp_replace(text, r"#-?(0x[0-9a-fA-F]+|[0-9]+)", "#IMM")
-    text = F.regexp_replace(text, r"0x[0-9a-fA-F]+", "IMM")
-    return F.trim(F.regexp_replace(text, r"\s+", " "))
+    text = operands
+    for pattern, to in OPERAND_RULES:
+        text = F.regexp_replace(text, pattern, to)
+    return F.trim(text)
 
 
 def norm_site(mnemonic: Column, operands: Column, lo: int, hi: int) -> Column:

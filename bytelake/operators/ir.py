@@ -19,10 +19,14 @@ def instruction_rows(lines: DataFrame, lo: int | None = None, hi: int | None = N
     return rows.withColumn("idx", idx.cast("long")).drop("line_no")
 
 
-def token_ids(rows: DataFrame) -> DataFrame:
-    """Adds token_id, one numbering for all images: the alphabet is small, so ranking it is one small window."""
-    known = rows.select("token").distinct().withColumn("token_id", (F.row_number().over(Window.orderBy("token")) - 1).cast("int"))
-    return rows.join(F.broadcast(known), "token")
+def token_ids(rows: DataFrame, most: int = 1 << 16) -> DataFrame:
+    """Adds token_id, one numbering for all images. The alphabet may have at most ``most`` tokens, or there is an error: it is numbered
+    on the driver and broadcast."""
+    known = [r[0] for r in rows.select("token").distinct().orderBy("token").limit(most + 1).collect()]
+    if len(known) > most:
+        raise ValueError(f"over {most} different tokens")
+    ids = rows.sparkSession.createDataFrame(list(zip(known, range(len(known)), strict=True)), "token string, token_id int")
+    return rows.join(F.broadcast(ids), "token")
 
 
 def token_matches(old: bytes, new: bytes, least: int = 4) -> list[Match]:

@@ -7,7 +7,7 @@ import zlib
 import numpy as np
 from pyspark.sql import DataFrame
 
-from bytelake.functions.kernels import array_of, pointer_words, words_of
+from bytelake.functions.kernels import masked, pointer_words, words_of
 from bytelake.operators.rowwise import flat_map
 
 
@@ -47,19 +47,23 @@ def guess_mode(data: bytes, lo: int, hi: int, endian: str = "le") -> str:
     return "arm" if arm > 1.2 * thumb else "thumb"
 
 
+#: Weights of shared grams, shared sites and like density of branches.
+GRAMS, SITES, DENSITY = 0.60, 0.25, 0.15
+
+
 def breakdown(old: bytes, new: bytes, lo: int, hi: int, mode: str = "auto", endian: str = "le") -> tuple[str, float, float, float, float]:
-    """(mode, similarity, grams, sites, branch density), each 0 if a side is empty."""
+    """(mode, similarity, grams, sites, branch density), each 0 if a side is empty. Grams are those of the images with words that look
+    like addresses set to zero. Mode 'raw' knows no branches."""
     mode = guess_mode(new, lo, hi, endian) if mode == "auto" else mode
     if not old or not new:
         return mode, 0.0, 0.0, 0.0, 0.0
-    step = 2 if mode == "thumb" else 4
-    find = thumb_branches if mode == "thumb" else arm_branches
-    grams = jaccard(gram_set(old, 16, step), gram_set(new, 16, step))
-    branches = [find(d, endian) for d in (old, new)]
-    sites = jaccard(*({*b.tolist()} | {*pointer_words(d, lo, hi, endian).tolist()} for b, d in zip(branches, (old, new), strict=True)))
-    density = [len(b) / max(1, len(d) // step) for b, d in zip(branches, (old, new), strict=True)]
+    step, unit, find = {"thumb": (2, 2, thumb_branches), "arm": (4, 4, arm_branches)}.get(mode, (4, 1, lambda d, e: np.empty(0, dtype=np.int64)))
+    sides = [(find(d, endian), pointer_words(d, lo, hi, endian)) for d in (old, new)]
+    grams = jaccard(*(gram_set(masked(d, [(at, "ptr") for at in words.tolist()]), 16, step) for d, (_, words) in zip((old, new), sides, strict=True)))
+    sites = jaccard(*({*branches.tolist(), *words.tolist()} for branches, words in sides))
+    density = [len(branches) / max(1, len(d) // unit) for (branches, _), d in zip(sides, (old, new), strict=True)]
     alike = 1 - min(1.0, abs(density[0] - density[1]))
-    return mode, 0.60 * grams + 0.25 * sites + 0.15 * alike, grams, sites, alike
+    return mode, GRAMS * grams + SITES * sites + DENSITY * alike, grams, sites, alike
 
 
 def density_threshold(similarity: float) -> float:
@@ -74,9 +78,3 @@ def similarities(pairs: DataFrame, key: str, lo: int, hi: int, mode: str = "auto
         return [tuple(round(x, 6) if isinstance(x, float) else x for x in breakdown(bytes(old), bytes(new), lo, hi, mode, endian))]
 
     return flat_map(pairs.select(key, "old", "new"), kernel, f"{key} long, mode string, sim double, s_kgram double, s_sites double, s_bd double", keep=1)
-
-
-def bytes_equal(a: bytes, b: bytes) -> int:
-    """Places at which two images hold the same byte."""
-    n = min(len(a), len(b))
-    return int((array_of(a[:n]) == array_of(b[:n])).sum())

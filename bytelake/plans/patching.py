@@ -16,7 +16,6 @@ from bytelake.functions import codec
 from bytelake.functions.codec import ADD, COPY, PATCH, Instruction, PatchError
 from bytelake.functions.kernels import (
     Match,
-    array_of,
     best_cover,
     change_runs,
     chunk_matches,
@@ -283,8 +282,3 @@ def manifests(patches: DataFrame, keys: list[str], patch_col: str = "patch", pay
     n = F.ceil(F.octet_length(patch_col) / payload).cast("int")
     crcs = F.transform(F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>")), lambda i: F.crc32(F.substring(F.col(patch_col), i * payload + 1, F.lit(payload))))
     return patches.select(*keys, F.octet_length(patch_col).cast("long").alias("total_len"), F.crc32(patch_col).alias("total_crc32"), F.lit(payload).alias("frame_payload_size"), n.alias("frames"), crcs.alias("frame_crc32"))
-
-
-def unchanged(old: bytes, new: bytes) -> bool:
-    """Whether two images are equal."""
-    return len(old) == len(new) and bool((array_of(old) == array_of(new)).all())

@@ -6,8 +6,8 @@ turn before.
 
 from __future__ import annotations
 
-import shutil
 import tempfile
+import uuid
 import zlib
 from collections.abc import Callable
 
@@ -407,17 +407,34 @@ def chunk_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flat_map(documents(spark, sf_dir), kernel, "image_id long, chunk_no long, start long, length long, crc long, data binary", keep=1)
 
 
-@query()
+#: Chunks (image_id, chunk_no, start, e, n): after at least 64 bytes the first candidate ends one, else the 1024th byte or the end.
+CHUNKS = f"""b AS (SELECT doc_id AS image_id, {LIST.format("coalesce(text, '')")} AS l FROM documents),
+p AS (SELECT image_id, unnest(range(len(l))) AS i, {GEAR_SQL}[CAST(unnest(l) AS INT) + 1] AS g FROM b),
+f AS (SELECT image_id, i, ({FINGERPRINT}) & 255 AS f FROM p WINDOW w AS (PARTITION BY image_id ORDER BY i)),
+c AS (SELECT image_id, list(i + 1 ORDER BY i) AS cuts FROM f WHERE f = 0 AND i >= 7 GROUP BY image_id),
+d AS (SELECT image_id, CAST(len(l) AS BIGINT) AS n, cuts FROM b LEFT JOIN c USING (image_id) WHERE len(l) > 0),
+k AS (
+  SELECT image_id, CAST(0 AS BIGINT) AS chunk_no, CAST(0 AS BIGINT) AS start, CAST(least(n, 1024, coalesce(list_min(list_filter(cuts, lambda x: x >= 64)), n)) AS BIGINT) AS e, n, cuts FROM d
+  UNION ALL
+  SELECT image_id, chunk_no + 1, e, CAST(least(n, e + 1024, coalesce(list_min(list_filter(cuts, lambda x: x >= e + 64)), n)) AS BIGINT), n, cuts FROM k WHERE e < n)"""
+
+
+@query(f"""
+WITH RECURSIVE {CHUNKS},
+h AS (SELECT k.image_id, e - start AS length, substr(hex(encode(text)), 2 * start + 1, 2 * (e - start)) AS h FROM k JOIN documents ON doc_id = image_id),
+g AS (SELECT h, length, count(*) AS n, count(DISTINCT image_id) AS images FROM h GROUP BY h, length HAVING count(*) > 1)
+SELECT CAST({CRC.format("list_transform(regexp_extract_all(h, '..'), lambda x: CAST('0x' || x AS BIGINT))")} AS BIGINT) AS crc, length, n, images FROM g, {CRC_TABLE}
+""")
 def q_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Content-defined chunks that several images share: by CRC and length, and by their bytes."""
-    g = chunk_table(spark, sf_dir).groupBy("crc", "length", "data").agg(F.count("*").alias("n"), F.countDistinct("image_id").alias("images"))
+    """Content-defined chunks that several places share: equal in CRC, length and digest."""
+    g = chunk_table(spark, sf_dir).groupBy("crc", "length", F.unhex(F.sha2("data", 256)).alias("digest")).agg(F.count("*").alias("n"), F.countDistinct("image_id").alias("images"))
     return g.where("n > 1").select("crc", "length", "n", "images")
 
 
-@query("SELECT doc_id AS image_id, CAST(strlen(coalesce(text, '')) AS BIGINT) AS covered FROM documents WHERE strlen(coalesce(text, '')) > 0")
+@query(f"WITH RECURSIVE {CHUNKS} SELECT image_id, chunk_no, start, e - start AS length FROM k")
 def q_cdc_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chunks follow each other and cover the image."""
-    return chunk_table(spark, sf_dir).groupBy("image_id").agg(F.sum("length").alias("covered"))
+    """Every chunk's place."""
+    return chunk_table(spark, sf_dir).select("image_id", "chunk_no", "start", "length")
 
 
 NEW_REPEATS = " UNION ALL ".join(
@@ -602,10 +619,14 @@ SELECT pair_id, CAST(min(n_off) AS BIGINT) AS n_off, CAST(max_by(n_off + size, n
 def q_merge_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Regions at one offset in two equal images merge over gaps of at most 64 bytes."""
     rows = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("pair_id"), (F.col("l_orderkey") * 8).alias("off")).agg(F.max("l_quantity").cast("long").alias("size"))
-    by = Window.partitionBy("pair_id").orderBy("off")
-    gap = F.col("off") - F.lag(F.col("off") + F.col("size")).over(by)
-    marked = rows.withColumn("first", (gap.isNull() | ~gap.between(0, 64)).cast("int")).withColumn("g", F.sum("first").over(by))
-    return marked.groupBy("pair_id", "g").agg(F.min("off").alias("n_off"), F.max_by(F.col("off") + F.col("size"), "off").alias("end")).select("pair_id", "n_off", (F.col("end") - F.col("n_off")).alias("size"))
+    rows = rows.groupBy("pair_id").agg(F.sort_array(F.collect_list(F.struct("off", "size"))).alias("regions"))
+
+    def kernel(regions: list[dict]) -> list[tuple]:
+        found = [kernels.Match(r["off"], r["off"], r["size"]) for r in regions]
+        image = bytes(max(m.new + m.length for m in found))
+        return [(m.new, m.length) for m in kernels.merged_regions(found, image, image)]
+
+    return flat_map(rows, kernel, "pair_id long, n_off long, size long", keep=1)
 
 
 # Patches
@@ -701,13 +722,14 @@ def q_top_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT doc_id AS pair_id, CAST((strlen(coalesce(text, '')) + 501) // 502 AS INT) AS frames, CAST(strlen(coalesce(text, '')) AS BIGINT) AS total_len, md5(encode(coalesce(text, ''))) AS patch_md5 FROM documents WHERE strlen(coalesce(text, '')) > 0")
 def q_frame_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Frames of every document, as a stream from files, put together again; the result is a table in the shared folder."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="bytelake-frames-")
-    run = f"{base.rstrip('/')}/frames-{spark.sparkContext.applicationId}-{len(sf_dir)}-{abs(hash((sf_dir, id(spark), F)))}"
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+    run = f"{(base or tempfile.mkdtemp(prefix='bytelake-frames-')).rstrip('/')}/frames-{uuid.uuid4().hex}"
     made = patching.frames(documents(spark, sf_dir).withColumnRenamed("image_id", "pair_id"), ["pair_id"], "bytes")
     n = made.groupBy("pair_id").agg(F.count("*").cast("int").alias("frames"))
     made.join(n, "pair_id").write.mode("overwrite").parquet(f"{run}/in")
     stream = spark.readStream.schema("pair_id long, frame_no int, payload binary, crc32 long, frames int").parquet(f"{run}/in")
-    shutil.rmtree(f"{run}/state", ignore_errors=True)
     done = reassemble(stream).writeStream.format("parquet").option("checkpointLocation", f"{run}/state").outputMode("append").trigger(availableNow=True).start(f"{run}/out")
     done.awaitTermination()
     return spark.read.schema("pair_id long, frames int, total_len long, total_crc32 long, patch binary").parquet(f"{run}/out").select("pair_id", "frames", "total_len", F.md5("patch").alias("patch_md5"))

@@ -124,10 +124,3 @@ def described(pairs: DataFrame) -> DataFrame:
 
     region, site = "array<struct<n_off:long,o_off:long,size:long>>", "array<struct<at:long,kind:string>>"
     return flat_map(pairs.select("pair_id", "kind", "old", "new"), kernel, f"pair_id long, kind string, old binary, new binary, symbols {region}, sections {region}, old_sites {site}, new_sites {site}", keep=2)
-
-
-def small_mutation_hex(data: Column, number: Column) -> Column:
-    """The small mutation in Catalyst, as hex digits."""
-    at = F.sequence(F.lit(0), F.octet_length(data) - 1)
-    digits = F.transform(at, lambda i: F.when(i % 97 == number % 97, F.lpad(F.hex((F.conv(F.hex(F.substring(data, i + 1, F.lit(1))), 16, 10).cast("int") + 1) % 256), 2, "0")).otherwise(F.hex(F.substring(data, i + 1, F.lit(1)))))
-    return F.when(F.octet_length(data) == 0, "").otherwise(F.array_join(digits, ""))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import re
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -59,18 +60,25 @@ def symbol_table(files: DataFrame, flash_base: int = 0) -> DataFrame:
 
 
 def read_symbols(spark: SparkSession, path: str, flash_base: int = 0) -> DataFrame:
-    """Symbols of the JSON files below a path; the image is the file's path."""
-    files = spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("image_id"), F.col("value").alias("text"))
+    """Symbols of the JSON files below a path; the image is the file's path. Where there is no such path there are no symbols."""
+    try:
+        files = spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("image_id"), F.col("value").alias("text"))
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        files = spark.createDataFrame([], "image_id string, text string")
     return symbol_table(files, flash_base)
 
 
 def map_symbols(lines: DataFrame, flash_base: int, image_length: int) -> DataFrame:
     """Symbols of linker map lines (image_id, line_no, text): the first address in [base, base + length], the last good name on the
-    line, the first of each address; size is the distance to the next, so the last one, without size, is dropped."""
+    line that is no number, no address and no path, less commas and colons at its end; of one address the least name. Size is the
+    distance to the next, so the last one, without size, is dropped."""
     found = F.transform(F.regexp_extract_all("text", F.lit(r"\b0x([0-9a-fA-F]+)\b"), F.lit(1)), lambda x: F.conv(x, 16, 10).cast("long"))
-    tokens = F.filter(F.split(F.trim("text"), r"\s+"), lambda t: good_symbol(t) & ~t.rlike(r"^(0x)?[0-9a-fA-F']+$") & t.rlike(r"^[A-Za-z_?]"))
-    rows = lines.withColumn("addr", F.get(F.filter(found, lambda a: a.between(flash_base, flash_base + image_length)), F.lit(0))).withColumn("name", F.element_at(tokens, -1)).where("addr IS NOT NULL AND name IS NOT NULL")
-    first = rows.withColumn("nth", F.row_number().over(Window.partitionBy("image_id", "addr").orderBy("line_no"))).where("nth = 1")
+    words = F.filter(F.split(F.trim("text"), r"\s+"), lambda t: ~t.rlike(r"^(?:0x[0-9a-fA-F]+|[0-9]+)$|[\\/]"))
+    tokens = F.filter(F.transform(words, lambda t: F.regexp_replace(t, "[,:]+$", "")), good_symbol)
+    rows = lines.withColumn("addr", F.get(F.filter(found, lambda a: a.between(flash_base, flash_base + image_length)), F.lit(0))).withColumn("name", F.try_element_at(tokens, F.lit(-1))).where("addr IS NOT NULL AND name IS NOT NULL")
+    first = rows.withColumn("nth", F.row_number().over(Window.partitionBy("image_id", "addr").orderBy("name"))).where("nth = 1")
     size = F.lead("addr").over(Window.partitionBy("image_id").orderBy("addr")) - F.col("addr")
     return first.select("image_id", "name", "addr", (F.col("addr") - flash_base).alias("off"), size.alias("size")).where("size > 0")
 
@@ -96,20 +104,27 @@ def code_regions(markers: DataFrame) -> DataFrame:
     return markers.where(kind.isNotNull()).select("image_id", "section_index", F.col("addr").alias("start"), end.alias("end"), kind.alias("type")).where("end > start")
 
 
+# The lines of a text dump. Header of a section; first segment (number, load, file offset, address); section (number, name, kind,
+# address, offset, size); symbol (number, name, address, section, type, binding, size); instruction (address, code, mnemonic, operands).
+HEX = "(0x[0-9a-fA-F]+)"
+HEADER_LINE = r"^Section #(\d+)\s+(.*?):\s*$"
+SEGMENT_LINE = rf"^\s*\d+:\s+load\s+{HEX}\s+{HEX}"
+SECTION_LINE = rf"^\s*(\d+):\s+(.+?)\s+(?:pbits|nobits)\s+{HEX}\s+{HEX}\s+{HEX}"
+SYMBOL_LINE = rf"^\s*\d+:\s+(\S+)\s+{HEX}\s+(\S+)\s+(\S+)\s+(\S+)(?:\s+{HEX})?\s*$"
+CODE_LINE = r"^\s*0x([0-9a-fA-F]+):\s+0x([0-9a-fA-F]{4}|[0-9a-fA-F]{8})\s+(\S+)\s*(.*)$"
+
+
 def dump_tables(lines: DataFrame, norm_section: str = "P2 ro", lo: int = 0, hi: int = (1 << 32) - 1) -> dict[str, DataFrame]:
     """Segment, section, symbol and norm-site tables of text dumps (image_id, line_no, text).
 
     A line belongs to the section whose header stands last before it. Numbers are hexadecimal with 0x; addresses of
     symbols outside [lo, hi] and of Abs and Ext sections are dropped.
     """
-    header = F.regexp_extract("text", r"^Section #(\d+)\s+(.*?):\s*$", 1)
+    header = F.regexp_extract("text", HEADER_LINE, 1)
     before = Window.partitionBy("image_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    rows = lines.withColumn("in", F.last(F.when(header != "", F.struct(header.cast("int").alias("index"), F.regexp_extract("text", r"^Section #(\d+)\s+(.*?):\s*$", 2).alias("name"))), ignorenulls=True).over(before))
+    rows = lines.withColumn("in", F.last(F.when(header != "", F.struct(header.cast("int").alias("index"), F.regexp_extract("text", HEADER_LINE, 2).alias("name"))), ignorenulls=True).over(before))
     value = lambda c: F.conv(F.regexp_replace(c, "^0x", ""), 16, 10).cast("long")
-    seg = r"^\s*\d+:\s+load\s+(0x[0-9a-fA-F]+)\s+(0x[0-9a-fA-F]+)"
-    sec = r"^\s*(\d+):\s+(.+?)\s+(?:pbits|nobits)\s+(0x[0-9a-fA-F]+)\s+(0x[0-9a-fA-F]+)\s+(0x[0-9a-fA-F]+)"
-    sym = r"^\s*\d+:\s+(\S+)\s+(0x[0-9a-fA-F]+)\s+(\S+)\s+(\S+)\s+(\S+)(?:\s+(0x[0-9a-fA-F]+))?\s*$"
-    ins = r"^\s*0x([0-9a-fA-F]+):\s+0x([0-9a-fA-F]{4}|[0-9a-fA-F]{8})\s+(\S+)\s*(.*)$"
+    seg, sec, sym, ins = SEGMENT_LINE, SECTION_LINE, SYMBOL_LINE, CODE_LINE
     part = lambda pattern, k: F.regexp_extract("text", pattern, k)
     section = rows.where("in IS NULL").where(F.col("text").rlike(sec)).select("image_id", part(sec, 1).cast("int").alias("section_index"), part(sec, 2).alias("name"), value(part(sec, 3)).alias("addr"), value(part(sec, 4)).alias("file_offset"), value(part(sec, 5)).alias("size"))
     symbol = rows.where("`in`.name = '.symtab'").where(F.col("text").rlike(sym) & ~part(sym, 3).isin("Abs", "Ext")).select("image_id", part(sym, 1).alias("name"), value(part(sym, 2)).alias("addr"), part(sym, 3).cast("int").alias("section_index"), part(sym, 4).alias("type"), part(sym, 5).alias("binding"), value(part(sym, 6)).alias("size_decl")).where(F.col("addr").between(lo, hi))

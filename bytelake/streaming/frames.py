@@ -7,20 +7,25 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql.streaming.state import GroupState
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 OUTPUT = "pair_id long, frames int, total_len long, total_crc32 long, patch binary"
 STATE = "frames map<int,binary>"
 
 
-def reassemble(stream: DataFrame) -> DataFrame:
+def reassemble(stream: DataFrame, patience_ms: int | None = None) -> DataFrame:
     """A row for each patch once all its frames are there.
 
     stream: (pair_id, frame_no, frames, payload, crc32). A frame whose payload fails its CRC is ignored, of repeated
-    valid frames the last counts; state is dropped with the last frame. State is one patch a key, spread by pair_id.
+    valid frames the last counts. State is one patch a key, spread by pair_id, and is dropped with the last frame. What is
+    incomplete, or begun again by a frame repeated after that, is dropped when no frame has come for ``patience_ms``;
+    without it such state stays, as suits a stream that is read to its end once (a timeout would keep that from ending).
     """
 
     def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         held: dict[int, bytes] = dict(state.get[0]) if state.exists else {}
         total = None
         for part in parts:
@@ -34,5 +39,7 @@ def reassemble(stream: DataFrame) -> DataFrame:
             yield pd.DataFrame({"pair_id": [key[0]], "frames": [total], "total_len": [len(patch)], "total_crc32": [zlib.crc32(patch)], "patch": [patch]})
         else:
             state.update((held,))
+            if patience_ms:
+                state.setTimeoutDuration(patience_ms)
 
-    return stream.groupBy("pair_id").applyInPandasWithState(step, OUTPUT, STATE, "append", "NoTimeout")
+    return stream.groupBy("pair_id").applyInPandasWithState(step, OUTPUT, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout if patience_ms else GroupStateTimeout.NoTimeout)

@@ -108,3 +108,41 @@ def test_resources_of_every_mutation(spark):
     ids = {r.image_id for r in own.documents(spark, SF).where("octet_length(bytes) > 0").collect()}
     assert len(rows) == len(set(rows)) and {r.kind for r in rows} == set(images.MUTATIONS)
     assert {(r.pair_id, r.kind) for r in rows} >= {(i, k) for i in ids for k in images.MUTATIONS}
+
+
+def test_similarity_masks_addresses():
+    """Images that differ in words that look like addresses alone share all grams."""
+    rest = bytes(range(1, 61))
+    old, new = (rest + a.to_bytes(4, "little") + rest for a in (0x08000100, 0x08000F00))
+    mode, sim, grams, sites, alike = breakdown(old, new, 0x08000000, 0x08001000, "raw")
+    assert (mode, grams, sites, alike) == ("raw", 1.0, 1.0, 1.0) and abs(sim - 1.0) < 1e-12
+    assert breakdown(old, new, 0, 1, "raw")[2] < 1.0
+
+
+def test_map_lines(spark):
+    lines = [
+        (1, " .text  0x08000010  0x20  src/main.o"), (2, " .text  0x08000010  0x20  zeta,"), (3, "alpha: 0x08000010 12"), (4, r" 0x08000040 beta: C:\lib\x.o"),
+        (5, "0x09000000 far"), (6, "no address here"), (7, "0x08000080 a"), (8, "0x08000100 last"),
+    ]
+    d = spark.createDataFrame([("i", n, t) for n, t in lines], "image_id string, line_no int, text string")
+    got = sorted((r.name, r.off, r.size) for r in symbols.map_symbols(d, 0x08000000, 0x1000).collect())
+    assert got == [(".text", 0x10, 0x30), ("beta", 0x40, 0xC0)]
+
+
+def test_sections_of_symbols(spark, tmp_path):
+    sections = spark.createDataFrame([("i", 1, "P1 ro", 0x100, 0x10, 0x40), ("i", 2, "P1", 0x200, 0x50, 0), ("i", 3, "P1 rw", 0x300, 0x90, 0x20)], "image_id string, section_index int, name string, addr long, file_offset long, size long")
+    assert [(r.addr_start, r.addr_end) for r in ir.section_bounds(sections, "P1").collect()] == [(0x100, 0x140)]
+    assert ir.section_bounds(sections, "P9").count() == 0
+    rows = pairing.symbols_in_sections(spark.createDataFrame([("i", 3, "f", 0x308)], "image_id string, section_index int, name string, addr long"), sections).collect()
+    assert [r.file_off for r in rows] == [0x98]
+    (tmp_path / "a.json").write_text('{"symbols": {"func": {"addr": 272, "size": 8}, "x": 3}}')
+    (tmp_path / "b.json").write_text("not json")
+    assert [(r.name, r.off, r.size) for r in symbols.read_symbols(spark, str(tmp_path), 256).collect()] == [("func", 16, 8)]
+    assert symbols.read_symbols(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_token_numbers_are_bounded(spark):
+    rows = spark.createDataFrame([("b",), ("a",), ("b",)], "token string")
+    assert sorted(map(tuple, ir.token_ids(rows).collect())) == [("a", 0), ("b", 1), ("b", 1)]
+    with pytest.raises(ValueError):
+        ir.token_ids(rows, most=1)
