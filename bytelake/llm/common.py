@@ -36,10 +36,15 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 def discard(*tables: DataFrame) -> None:
     """Delete materialized tables that nothing will read again."""
-    jvm = tables[0].sparkSession.sparkContext._jvm
-    for folder in {f.rsplit("/", 2)[0] for t in tables for f in t.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(tables[0].sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+    delete_folder(tables[0].sparkSession, *{f.rsplit("/", 2)[0] for t in tables for f in t.inputFiles()})
+
+
+def delete_folder(spark: SparkSession, *folders: str) -> None:
+    """Delete folders with all that is in them, on whatever file system they are."""
+    conf = spark._jsparkSession.sessionState().newHadoopConf()
+    for folder in folders:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(conf).delete(path, True)
 
 
 def named(column: str, prefix: str = "") -> Column:

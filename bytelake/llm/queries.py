@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bytelake.llm import chat, exact, fingerprint, jaccard, mixing, packing, pii, quality, sharding, warc
+from bytelake.llm.common import delete_folder, shared_dir
 
 UP, LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -59,13 +61,19 @@ FROM c
 
 
 def op4_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Audits a second replica of all pages with known damage: by id, some records altered, lost or added."""
+    """Writes all pages and a replica with known damage (by id, some records altered, lost or added) as WARC files and audits these."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
     altered = pages.where("page_id % 101 <> 7").withColumn("html", F.when(F.col("page_id") % 97 == 13, F.concat(F.lit("?"), F.col("html"))).otherwise(F.col("html")))
     added = pages.where("page_id % 103 = 5").withColumn("page_id", -F.col("page_id"))
-    damaged = altered.unionByName(added)
-    digests = [warc.digest_table(warc.warc_records(p)) for p in (pages, damaged)]
-    return warc.fixity_audit(*digests).withColumnRenamed("id", "page_id")
+    digests, folders = [], []
+    for replica in (pages, altered.unionByName(added)):
+        folders.append(f"{shared_dir(spark)}/bytelake-{uuid.uuid4().hex}")
+        warc.write_warc(warc.warc_records(replica), f"{folders[-1]}/warc")
+        digests.append(warc.read_digests(spark, f"{folders[-1]}/warc"))
+    number = lambda c, pattern: F.regexp_extract(c, pattern, 1).try_cast("long")
+    found = warc.fixity_audit(*digests).withColumn("page_id", number("id", "^<urn:page:(.*)>$")).withColumn("file", number("file", "^file=(.*)$")).drop("id")
+    delete_folder(spark, *folders)  # the audit has written all digests, and reads no file again
+    return found
 
 
 OP4_SQL = r"""
@@ -78,8 +86,8 @@ r AS (
          || 'Content-Length: ' || strlen(coalesce(html, '')) || e || e || coalesce(html, '') || e || e AS record
   FROM (SELECT 'l' AS side, * FROM (SELECT page_id, url, html FROM pages) UNION ALL SELECT 'r', * FROM b), (SELECT chr(13) || chr(10) AS e)),
 d AS (
-  SELECT side, page_id, CAST(floor(page_id / 1024.0) AS BIGINT) AS file, CAST(strlen(record) AS BIGINT) AS length, sha256(record) AS sha,
-         CAST(sum(strlen(record)) OVER (PARTITION BY side, floor(page_id / 1024.0) ORDER BY page_id ROWS UNBOUNDED PRECEDING) - strlen(record) AS BIGINT) AS "offset"
+  SELECT side, page_id, CAST(floor(page_id / 4096.0) AS BIGINT) AS file, CAST(strlen(record) AS BIGINT) AS length, sha256(record) AS sha,
+         CAST(sum(strlen(record)) OVER (PARTITION BY side, floor(page_id / 4096.0) ORDER BY page_id ROWS UNBOUNDED PRECEDING) - strlen(record) AS BIGINT) AS "offset"
   FROM r),
 j AS (
   SELECT coalesce(l.page_id, r.page_id) AS page_id, CASE WHEN r.sha IS NULL THEN 'missing' WHEN l.sha IS NULL THEN 'extra' ELSE 'corrupt' END AS status,

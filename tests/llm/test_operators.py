@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import collections
+import gzip
 import hashlib
 import random
 import re
 import time
+import uuid
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -187,19 +190,54 @@ def test_mixing(docs, none):
 
 def test_warc(spark, tmp_path):
     schema = "page_id long, url string, html string, file int"
-    rows = [(i, f"http://x/{i}\r\nEvil: 1", f"<p>é {i}</p>\r\n\r\nWARC/1.1\r\n", 0) for i in range(-40, 3000, 3)] + [(None, None, None, 0), (6, None, None, 0), (6, None, None, 0), (7, "u", None, 0)]
+    rows = [(i, f"http://x/{i}\r\nEvil: 1", f"<p>é {i}</p>\r\n\r\nWARC/1.1\r\n", 0) for i in range(-40, 9000, 3)] + [(None, None, None, 0), (6, None, None, 0), (6, None, None, 0), (7, "u", None, 0)]
     left = spark.createDataFrame(rows, schema)
-    audit = lambda a, b: warc.fixity_audit(*(warc.digest_table(warc.warc_records(t)) for t in (a, b)))
-    assert audit(left, left).count() == 0
-    right = spark.createDataFrame([(i, u, (h or "") + "!" if i in (7, 77) else h, f) for i, u, h, f in rows if i != 83][:-4] + rows[-3:-1] + [(7, "u", "!", 0), (9999, "n", "n", 0), (None, "z", "z", 0)], schema)
-    got = sorted((str(r.id), r.status) for r in audit(left, right).collect())
-    assert got == sorted([("77", "corrupt"), ("83", "missing"), ("9999", "extra"), ("7", "corrupt"), ("None", "missing"), ("None", "extra")])
-    assert audit(left.limit(0), left.limit(0)).count() == 0 and audit(left, left.limit(0)).count() == len(rows)
+
+    def written(t):
+        path = str(tmp_path / uuid.uuid4().hex)
+        warc.write_warc(warc.warc_records(t), path)
+        return path
+
+    def audit(a, b, **options):
+        found = warc.fixity_audit(*(warc.read_digests(spark, written(t)) for t in (a, b)), **options).collect()
+        return sorted((r.id[10:-1], r.status) for r in found)
+
+    assert audit(left, left) == []
+    right = spark.createDataFrame([(i, u, (h or "") + "!" if i in (8, 77) else h, f) for i, u, h, f in rows if i != 83][:-4] + rows[-3:-1] + [(7, "u", "!", 0), (9999, "n", "n", 0), (None, "z", "z", 0)], schema)
+    want = [("77", "corrupt"), ("8", "corrupt"), ("83", "missing"), ("9999", "extra"), ("7", "corrupt"), ("none", "corrupt")]
+    assert audit(left, right) == sorted(want)
+    assert {i for i, s in audit(left, right, moved=True) if s == "moved"} == {str(r[0]) for r in rows if r[0] is not None and 8 < r[0] < 4096 and r[0] not in (77, 83)}
+    assert audit(left.limit(0), left.limit(0)) == [] and len(audit(left, left.limit(0))) == len(rows)
     far = spark.createDataFrame([(-(1 << 63), "a", "b", 0), ((1 << 63) - 1, "a", "b", 0)], schema)
-    assert audit(far, far.limit(0)).count() == 2 and audit(far, far).count() == 0
-    warc.write_warc(warc.warc_records(left), str(tmp_path / "w"))
-    back = warc.read_warc(spark, str(tmp_path / "w")).collect()
+    assert len(audit(far, far.limit(0))) == 2 and audit(far, far) == []
+    back = warc.read_warc(spark, written(left)).collect()
     assert sorted(bytes(r.payload).decode() for r in back) == sorted(r[2] or "" for r in rows)
+    assert {r.kind for r in back} == {"resource"}
+
+
+def test_damage_between_and_order_of_records(spark, tmp_path):
+    one, two, three = (f"WARC/1.1\r\nWARC-Record-ID: <{i}>\r\nContent-Length: 3\r\n\r\nab{i}\r\n\r\n".encode() for i in range(3))
+    files = {"a": one + two + three, "b": one + b"junk" + two + three, "c": one + three + two, "d": gzip.compress(one) + gzip.compress(two) + gzip.compress(three)}
+    for name, data in files.items():
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "x.warc").write_bytes(data)
+    digests = {name: warc.read_digests(spark, str(tmp_path / name)) for name in files}
+    told = lambda b, **options: sorted((str(r.id), r.status, r.offset) for r in warc.fixity_audit(digests["a"], digests[b], **options).collect())
+    assert told("d", moved=True) == []
+    assert told("b") == [("None", "extra", len(one))]
+    assert told("c") == [] and told("c", moved=True) == [("<1>", "moved", len(one)), ("<2>", "moved", 2 * len(one))]
+
+
+def test_every_byte_of_a_warc_file_is_in_one_row():
+    record = b"WARC/1.0\r\nWARC-Record-ID: <r>\r\nContent-Length: 5\r\n\r\nhello\r\n\r\n"
+    for data in (b"", b"WARC/", b"junk", record * 3, b"x" + record, record + b"WARC/1.0\r\n", record[:-2], record.replace(b": 5", b": 99"), record.replace(b": 5", b": ?"), record.replace(b"hello", b"hellos") * 2):
+        for size in (1, 7, 1 << 16):
+            rows = list(warc.parse_warc(data[i : i + size] for i in range(0, len(data), size)))
+            assert [r[4] for r in rows] == [sum(r[5] for r in rows[:i]) for i in range(len(rows))] and sum(r[5] for r in rows) == len(data)
+            assert [r[6] for r in rows] == [hashlib.sha256(data[r[4] : r[4] + r[5]]).hexdigest() for r in rows]
+    zipped = gzip.compress(record) * 40
+    assert b"".join(warc.inflated(pa.py_buffer(zipped), 50)) == record * 40
+    assert b"".join(warc.inflated(pa.py_buffer(zipped[:200] + b"\xff" * 30 + zipped[230:]), 50)).startswith(record)
 
 
 # Fingerprints
