@@ -255,6 +255,15 @@ def composition(rows: DataFrame) -> DataFrame:
     return g.withColumn("pct", share).withColumn("density", density)
 
 
+def lengths(rows: DataFrame, k: int = 10) -> DataFrame:
+    """(op, length, n, among_longest): how often each region length comes per opcode, and whether it is one of the k longest."""
+    from pyspark.sql import Window
+
+    g = rows.groupBy("op", "length").agg(F.count("*").alias("n"))
+    longest = g.withColumn("rank", F.row_number().over(Window.partitionBy("op").orderBy(F.desc("length")))).where(F.col("rank") <= k)
+    return g.join(F.broadcast(longest.select("op", "length", F.lit(True).alias("top"))), ["op", "length"], "left").select("op", "length", "n", F.coalesce("top", F.lit(False)).alias("among_longest"))
+
+
 def resources(rows: DataFrame, keys: list[str], payload: int = 502, scale: float = 1.0) -> DataFrame:
     """Per patch: peak memory of a decoder (greatest block and literal, window, payload, overhead) and its time by assumed bandwidths,
     differences also with their own term."""

@@ -479,9 +479,47 @@ def q_kgram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.withColumn("jaccard", F.when(F.col("every") == 0, F.lit(1.0)).otherwise(F.round(F.col("shared") / F.col("every"), 6)))
 
 
-@query()
+#: Bounds of what counts as an address in pages: words of blanks, digits and letters up to '@'.
+PAGE_ADDRESSES = (0x20202020, 0x40404040)
+LITTLE = "CAST('0x' || " + " || ".join("substr({0}, " + str(i) + ", 2)" for i in (7, 5, 3, 1)) + " AS BIGINT)"
+THUMB_WIDE = "{0} & 63488 IN (61440, 63488)"
+#: Both sides of a pair as hex; words, half-words and what they look like; grams by the CRC-32 of their bytes.
+SIMILARITY = f"""
+WITH {PL}, s AS (SELECT pair_id, unnest([0, 1]) AS side, unnest([hex(encode(old)), hex(encode(new))]) AS h FROM pl),
+n AS (SELECT pair_id, side, h, len(h) // 2 AS size FROM s),
+w0 AS (SELECT pair_id, side, unnest(range(len(h) // 8)) AS k, unnest(regexp_extract_all(h, '.{{8}}')) AS x FROM s),
+w AS (SELECT *, {LITTLE.format("x")} AS v FROM w0),
+words AS (SELECT pair_id, side, k, x, v, (v >= {PAGE_ADDRESSES[0]} AND v < {PAGE_ADDRESSES[1]}) OR (v >= 536870912 AND v < 537395200) AS address, (v >> 25) & 7 = 5 OR v & 268435440 IN (19922704, 19922736) AS arm FROM w),
+h0 AS (SELECT pair_id, side, unnest(range(len(h) // 4)) AS k, unnest(regexp_extract_all(h, '.{{4}}')) AS x FROM s),
+h1 AS (SELECT pair_id, side, k, CAST('0x' || substr(x, 3, 2) || substr(x, 1, 2) AS BIGINT) AS v FROM h0),
+h2 AS (SELECT *, lead(v) OVER (PARTITION BY pair_id, side ORDER BY k) AS after FROM h1),
+half AS (SELECT pair_id, side, k, (v & 61440 = 53248 AND v & 3840 <> 3840) OR v & 63488 = 57344 OR v & 65280 IN (45312, 47360) AS narrow, {THUMB_WIDE.format("v")} AND coalesce({THUMB_WIDE.format("after")}, false) AS wide FROM h2),
+thumb AS (SELECT pair_id, count_if(narrow OR (wide AND k < 2047)) AS c FROM half WHERE side = 1 AND k < 2048 GROUP BY pair_id),
+arm AS (SELECT pair_id, count_if(arm) AS c, max(v) FILTER (k = 0) AS first, max(v) FILTER (k = 1) AS second FROM words WHERE side = 1 AND k < 1024 GROUP BY pair_id),
+guess AS (
+    SELECT pair_id, CASE WHEN first >= 536870912 AND first < 537395200 AND second % 2 = 1 AND second >= {PAGE_ADDRESSES[0]} AND second < {PAGE_ADDRESSES[1]} THEN 'thumb'
+        WHEN coalesce(arm.c, 0)::DOUBLE / greatest(1, least(size, 4096) // 4) > 1.2::DOUBLE * (coalesce(thumb.c, 0)::DOUBLE / greatest(1, least(size, 4096) // 2)) THEN 'arm' ELSE 'thumb' END AS mode
+    FROM n LEFT JOIN thumb USING (pair_id) LEFT JOIN arm USING (pair_id) WHERE side = 1),
+branches AS (SELECT pair_id, side, 2 * k AS place FROM half JOIN guess USING (pair_id) WHERE mode = 'thumb' AND (narrow OR wide) UNION ALL SELECT pair_id, side, 4 * k FROM words JOIN guess USING (pair_id) WHERE mode = 'arm' AND arm),
+sites AS (SELECT pair_id, side, place FROM branches UNION SELECT pair_id, side, 4 * k FROM words WHERE address),
+zeroed AS (SELECT pair_id, side, string_agg(CASE WHEN address THEN '00000000' ELSE x END, '' ORDER BY k) AS h FROM words GROUP BY pair_id, side),
+view AS (SELECT pair_id, side, z.h || substr(n.h, len(z.h) + 1) AS h, CASE mode WHEN 'arm' THEN 4 ELSE 2 END AS step FROM zeroed z JOIN n USING (pair_id, side) JOIN guess USING (pair_id)),
+g0 AS (SELECT pair_id, side, h, step, unnest(range((len(h) // 2 - 16) // step + 1)) AS k FROM view WHERE len(h) >= 32),
+g1 AS (SELECT DISTINCT pair_id, side, substr(h, 2 * step * k + 1, 32) AS g FROM g0),
+g2 AS (SELECT g, {CRC.format("list_transform(regexp_extract_all(g, '..'), lambda x: CAST('0x' || x AS BIGINT))")} AS crc FROM (SELECT DISTINCT g FROM g1), {CRC_TABLE}),
+grams AS (SELECT DISTINCT pair_id, side, crc AS place FROM g1 JOIN g2 USING (g)),
+js AS (SELECT pair_id, count_if(n = 2) / count(*) AS j FROM (SELECT pair_id, place, count(*) AS n FROM sites GROUP BY 1, 2) GROUP BY pair_id),
+jg AS (SELECT pair_id, count_if(n = 2) / count(*) AS j FROM (SELECT pair_id, place, count(*) AS n FROM grams GROUP BY 1, 2) GROUP BY pair_id),
+d AS (SELECT pair_id, side, coalesce(c, 0)::DOUBLE / greatest(1, size // CASE mode WHEN 'arm' THEN 4 ELSE 2 END) AS d FROM n JOIN guess USING (pair_id) LEFT JOIN (SELECT pair_id, side, count(*) AS c FROM branches GROUP BY 1, 2) USING (pair_id, side)),
+a AS (SELECT pair_id, 1::DOUBLE - least(1::DOUBLE, abs(max(d) FILTER (side = 0) - max(d) FILTER (side = 1))) AS a FROM d GROUP BY pair_id),
+parts AS (SELECT pair_id, mode, old = '' OR new = '' AS none, coalesce(jg.j, 1)::DOUBLE AS g, coalesce(js.j, 1)::DOUBLE AS s, a.a FROM pl JOIN guess USING (pair_id) JOIN a USING (pair_id) LEFT JOIN js USING (pair_id) LEFT JOIN jg USING (pair_id))
+SELECT pair_id, mode, CASE WHEN none THEN 0::DOUBLE ELSE round_even(0.60::DOUBLE * g + 0.25::DOUBLE * s + 0.15::DOUBLE * a, 6) END AS sim, CASE WHEN none THEN 0::DOUBLE ELSE round_even(g, 6) END AS s_kgram, CASE WHEN none THEN 0::DOUBLE ELSE round_even(s, 6) END AS s_sites, CASE WHEN none THEN 0::DOUBLE ELSE round_even(a, 6) END AS s_bd FROM parts
+"""
+
+
+@query(SIMILARITY)
 def q_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return similarity.similarities(page_pairs(spark, sf_dir), "pair_id", 0x20202020, 0x40404040)
+    return similarity.similarities(page_pairs(spark, sf_dir), "pair_id", *PAGE_ADDRESSES)
 
 
 # Symbols, sections, regions, instructions
@@ -710,6 +748,55 @@ def q_resources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return patching.resources(patching.instructions(patches(spark, sf_dir), ["pair_id", "kind"]), ["pair_id", "kind"])
 
 
+#: A line item as an instruction: its kind by the part, region by quantity and supplier, as many changes of 3 bytes as the line's number.
+INSTRUCTIONS = f"""
+l AS (SELECT l_orderkey AS pair_id, l_partkey % 7 AS kind, CAST(l_quantity AS BIGINT) * 100 AS length, l_suppkey * 100 AS old, CAST(l_linenumber AS BIGINT) AS n FROM lineitem),
+e AS (SELECT pair_id, ['COPY', 'ADD', 'DIFF', 'PATCH', 'FILL', 'PATCH_COMPACT', 'PATCH_DIFF'][kind + 1] AS op, length, n, {U.format("length")} AS l, {U.format("old")} AS o FROM l),
+x AS (SELECT pair_id, op, length, CASE op WHEN 'COPY' THEN 1 + o + l WHEN 'ADD' THEN 1 + l + length WHEN 'DIFF' THEN 1 + o + l + length WHEN 'FILL' THEN 2 + l WHEN 'PATCH_COMPACT' THEN 3 + o + l + 4 * n ELSE 2 + o + l + 5 * n END AS size,
+    CASE WHEN op IN ('ADD', 'DIFF') THEN length WHEN op LIKE 'PATCH%' THEN 3 * n ELSE 0 END AS data, CASE WHEN op IN ('ADD', 'DIFF') THEN (length + 4) // 5 ELSE 0 END AS zeros FROM e)"""
+
+
+def line_instructions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The instructions of patches made of an order's line items, encoded, compressed and read back."""
+    item = F.struct((F.col("l_partkey") % 7).alias("kind"), (F.col("l_quantity").cast("long") * 100).alias("length"), (F.col("l_suppkey") * 100).alias("old"), F.col("l_linenumber").cast("int").alias("n"))
+    orders = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("pair_id")).agg(F.collect_list(item).alias("items"))
+    kinds = (codec.COPY, codec.ADD, codec.DIFF, codec.PATCH, codec.FILL, codec.PATCH_COMPACT, codec.PATCH_DIFF)
+
+    def instruction(kind: int, length: int, old: int, n: int) -> codec.Instruction:
+        op = kinds[kind]
+        data = (bytes(range(5)) * (length // 5 + 1))[:length] if op in (codec.ADD, codec.DIFF) else b"\x07" if op == codec.FILL else b""
+        return codec.Instruction(op, length, 0 if op in (codec.ADD, codec.FILL) else old, data, tuple((8 * i, b"abc") for i in range(n)) if op in (codec.PATCH, codec.PATCH_COMPACT, codec.PATCH_DIFF) else ())
+
+    def kernel(items: list[dict]) -> list[tuple]:
+        made = [instruction(**i) for i in items]
+        return [(codec.compress(codec.encode(made, sum(x.length for x in made))),)]
+
+    return patching.instructions(flat_map(orders, kernel, "pair_id long, patch binary", keep=1), ["pair_id"])
+
+
+@query(f"""
+WITH {INSTRUCTIONS}, g AS (SELECT op, count(*) AS n, sum(size - data) AS meta_bytes, sum(data) AS data_bytes, sum(size) AS total_bytes, min(length) AS min_length, round(avg(length), 6) AS avg_length, max(length) AS max_length, max(size) AS max_size, sum(length) AS output_bytes, sum(zeros) AS zeros FROM x GROUP BY op)
+SELECT op, n, CAST(meta_bytes AS BIGINT) AS meta_bytes, CAST(data_bytes AS BIGINT) AS data_bytes, CAST(total_bytes AS BIGINT) AS total_bytes, min_length, avg_length, max_length, CAST(max_size AS BIGINT) AS max_size, CAST(output_bytes AS BIGINT) AS output_bytes, CAST(zeros AS BIGINT) AS zeros,
+    round(100::DOUBLE * total_bytes / sum(total_bytes) OVER (), 6) AS pct, CASE WHEN output_bytes > 0 THEN round(data_bytes / output_bytes, 6) END AS density FROM g
+""")
+def q_instruction_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return patching.composition(line_instructions(spark, sf_dir))
+
+
+@query(f"""
+WITH {INSTRUCTIONS}, g AS (SELECT pair_id, max(CASE WHEN op LIKE 'PATCH%' OR op IN ('COPY', 'DIFF') THEN length ELSE 0 END) AS max_block, max(CASE WHEN op IN ('ADD', 'FILL') THEN length ELSE 0 END) AS max_literal, max(CASE WHEN op LIKE 'PATCH%' THEN length ELSE 0 END) AS max_patch,
+    CAST(sum(CASE WHEN op = 'COPY' THEN length ELSE 0 END) AS BIGINT) AS copied, CAST(sum(CASE WHEN op IN ('ADD', 'FILL') THEN length ELSE 0 END) AS BIGINT) AS added, CAST(sum(CASE WHEN op LIKE 'PATCH%' THEN length ELSE 0 END) AS BIGINT) AS patched, CAST(sum(CASE WHEN op = 'DIFF' THEN length ELSE 0 END) AS BIGINT) AS differed FROM x GROUP BY pair_id)
+SELECT *, greatest(max_block, max_literal) + 4096 AS peak_bytes, 32768 + 502 + max_patch AS sim_bytes, round(copied / 4e6 + added / 3e6 + patched / 2e6, 9) AS seconds, round(copied / 4e6 + added / 3e6 + (patched + differed) / 2e6, 9) AS seconds_with_diff FROM g
+""")
+def q_decoder_estimates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return patching.resources(line_instructions(spark, sf_dir), ["pair_id"])
+
+
+@query(f"WITH {INSTRUCTIONS} SELECT op, length, count(*) AS n, row_number() OVER (PARTITION BY op ORDER BY length DESC) <= 10 AS among_longest FROM x GROUP BY op, length")
+def q_instruction_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return patching.lengths(line_instructions(spark, sf_dir))
+
+
 @query(f"""
 WITH {MATCHES}, k AS (SELECT pair_id, length, row_number() OVER (PARTITION BY pair_id ORDER BY length DESC, n_off, o_off) AS k FROM m)
 SELECT pair_id, CAST(k AS INT) AS k, length FROM k WHERE k <= 10
