@@ -5,6 +5,7 @@ from __future__ import annotations
 import collections
 import gzip
 import hashlib
+import math
 import random
 import re
 import time
@@ -149,6 +150,68 @@ def test_quality_sees_the_whole_text():
     assert np.allclose(net.score([a, b"", b"x"]), [net.score([t])[0] for t in (a, b"", b"x")])
 
 
+def naive_score(p, chunks):
+    """Probability by one loop over each chunk's (bytes, places of filters, share filled)."""
+    hidden = []
+    for data, places, fill in chunks:
+        pooled = np.full(len(p["bias"]), -np.inf)
+        for at in places:
+            window = np.concatenate([p["embed"][b] for b in data[at : at + quality.WIDTH]]).astype(float)
+            pooled = np.maximum(pooled, window @ p["filters"])
+        m = np.append(np.maximum(pooled + p["bias"], 0), fill)
+        hidden.append(np.maximum(m @ p["hidden"] + p["hidden_bias"], 0))
+    d = np.concatenate([np.mean(hidden, axis=0), np.max(hidden, axis=0)])
+    return 1 / (1 + math.exp(-(d @ p["out"] + p["out_bias"][0])))
+
+
+def naive_chunks(text):
+    """Chunks of four cells, each three cells after the one before, that reach the end of the text and the padding its last filter sees."""
+    cells = -(-(len(text) + quality.WIDTH) // quality.CELL)
+    data, out, first = text + bytes(2 * quality.CHUNK), [], 0
+    while True:
+        end = min(first + quality.CELLS, cells)
+        out.append((data, range(first * quality.CELL, end * quality.CELL, quality.STRIDE), min(quality.CHUNK, max(0, len(text) - first * quality.CELL)) / quality.CHUNK))
+        if end == cells:
+            return out
+        first += quality.STEP
+
+
+def test_quality_forward_pass_against_loops():
+    rng = np.random.default_rng(3)
+    net = quality.Network.fresh(4, 5, 6, rng)
+    net.p["bias"], net.p["out_bias"] = rng.standard_normal(5).astype(np.float32) * 0.1, np.array([0.2], dtype=np.float32)
+    texts = [rng.integers(1, 256, n).astype(np.uint8).tobytes() for n in (0, 1, 7, 119, 120, 121, 127, 128, 129, 376, 377, 503, 504, 505, 512, 1000, 2600)]
+    for step in (128, 1 << 18):
+        assert np.allclose(net.score(texts, step), [naive_score(net.p, naive_chunks(t)) for t in texts], atol=1e-5)
+
+
+def test_quality_gradients_against_differences():
+    rng = np.random.default_rng(4)
+    p = {k: v.astype(np.float64) for k, v in quality.Network.fresh(3, 4, 5, rng).p.items()}
+    p["bias"], p["hidden_bias"] = rng.standard_normal(4) * 0.1, rng.standard_normal(5) * 0.1
+    texts = [rng.integers(1, 256, n).astype(np.uint8).tobytes() for n in (40, 700, 1500)]
+    part = [(quality.training_chunks(t, 99), y) for t, y in zip(texts, (1, 0, 1), strict=True)]
+    places = range(0, quality.CHUNK, quality.STRIDE)
+
+    def loss():
+        probs = [naive_score(p, [(b, places, n / quality.CHUNK) for b, n in chunks]) for chunks, _ in part]
+        return -sum(math.log(q if y else 1 - q) for q, (_, y) in zip(probs, part, strict=True)) / len(part)
+
+    found = quality.gradients(p, part)
+    assert found.keys() == p.keys()
+    for name, g in found.items():
+        assert g.shape == p[name].shape
+        flat, gs = p[name].reshape(-1), np.asarray(g, dtype=float).reshape(-1)
+        for i in {int(np.abs(gs).argmax()), *rng.integers(0, flat.size, 3).tolist()}:
+            was, eps = flat[i], 1e-5
+            flat[i] = was + eps
+            up = loss()
+            flat[i] = was - eps
+            down = loss()
+            flat[i] = was
+            assert math.isclose((up - down) / (2 * eps), gs[i], rel_tol=2e-3, abs_tol=2e-6), (name, i)
+
+
 # Mixing
 
 
