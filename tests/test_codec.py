@@ -111,3 +111,32 @@ def test_patches_take_metadata(spark):
         assert got.ok
     plain = patching.generate_patches(pairs, ["pair_id"], "advanced", patching.Profile(fast_path=0)).first()
     assert plain.ok and plain.raw_len != got.raw_len
+
+
+def test_row_kernels_yield_batches_bounded_by_bytes():
+    """Few large rows don't gather in a worker; a larger one goes alone."""
+    import pyarrow as pa
+    from types import SimpleNamespace
+
+    from bytelake.operators.rowwise import flat_map
+
+    table = SimpleNamespace(columns=["i", "data"], is_cached=False, mapInArrow=lambda f, kind: SimpleNamespace(f=f))
+    run = flat_map(table, lambda data: [(data * k, [(1, 2)] * k) for k in (1, 2, 9)], "i long, data binary, pairs array<struct<a:long,b:long>>", keep=1, most_bytes=5000).f
+    given = pa.RecordBatch.from_pydict({"i": list(range(20)), "data": [bytes([i]) * 1000 for i in range(20)]})
+    made = list(run(iter([given, given])))
+    assert [r for b in made for r in b.to_pylist()] == 2 * [{"i": i, "data": bytes([i]) * 1000 * k, "pairs": [{"a": 1, "b": 2}] * k} for i in range(20) for k in (1, 2, 9)]
+    assert all(b.nbytes <= 5000 or b.num_rows == 1 for b in made) and len(made) == 80
+
+
+def test_row_kernels_in_one_pass(spark):
+    """Pairs, their metadata and their patches are made in one worker, and are those of passes on their own."""
+    from bytelake.sources import images
+
+    texts = [(i, bytearray(b"line %d of 1234\n" % i * 9 + b"\n\n" + bytes(range(256)) * i)) for i in range(5)]
+    pairs = images.mutated_pairs(spark.createDataFrame([*texts, (5, bytearray())], "image_id long, bytes binary"))
+    some = {"symbols_col": "symbols", "sections_col": "sections", "sites_cols": ("old_sites", "new_sites")}
+    one = patching.generate_patches(images.described(pairs), ["pair_id", "kind"], "advanced", **some)
+    parts = patching.generate_patches(images.described(pairs.select("*")).select("*"), ["pair_id", "kind"], "advanced", **some)
+    plans = [d._jdf.queryExecution().executedPlan().toString().count("MapInArrow") for d in (one, parts)]
+    assert plans == [1, 3]
+    assert sorted(map(tuple, one.collect())) == sorted(map(tuple, parts.collect())) and one.count() == 36
