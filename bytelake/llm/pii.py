@@ -16,8 +16,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bytelake.llm.boosting import Boosted, fit, precise_threshold
-from bytelake.llm.common import materialize, text_or_empty
+from bytelake.llm.boosting import Boosted, count_thresholds, fit_counts, table_counts, table_cuts
+from bytelake.llm.common import discard, materialize, text_or_empty
 
 KINDS = ("email", "ip", "card", "phone")
 #: The base patterns as linear-time ones with the same matches: a match starts at the end of the last one or where no
@@ -210,22 +210,22 @@ def rewritten(kind: str, base: Column) -> Column:
     return F.when(F.size(base) > 0, bound(F.concat(*[one(x) for x in REWRITES[kind]]), label)).otherwise(F.array().cast(TRY))
 
 
-def fit_selector(found_rows: DataFrame, *, most_rows: int = 20_000, precision: float = 0.99, **options) -> tuple[Boosted, dict[str, float]]:
-    """Trees and a threshold for each kind, from at most most_rows candidates, the first by hash.
+def fit_selector(found_rows: DataFrame, *, precision: float = 0.99, bins: int = 16, **options) -> tuple[Boosted, dict[str, float]]:
+    """Trees and a threshold for each kind, from all candidates.
 
     Labels are those of candidates() and rewritten(); every fifth, by hash, is kept out and calibrates the threshold:
     the least score, even odds or more, from which on ``precision`` of them are positive (none: nothing is added).
+    Candidates are counted by bins of their features in Spark; the driver gets cuts, sums by bin, and thresholds.
     """
     c = found_rows.select(F.explode(F.concat(*[f"{x}_{k}" for x in ("try", "like") for k in KINDS])).alias("c"), "text_hash").select("c.*", "text_hash")
-    mix = F.xxhash64(*FEATURES, "start", "text_hash")
-    share = min(1.0, 2 * most_rows / max(1, c.count()))  # so tasks together send the driver about twice as many, however many they are
-    near = F.pmod(mix, F.lit(1 << 32)) < int(share * (1 << 32))
-    rows = c.where(near).select(mix.alias("mix"), F.col("rule").cast("int").alias("y"), *FEATURES).orderBy("mix", *FEATURES).limit(most_rows).collect()
-    x, y = np.array([[r[f] for f in FEATURES] for r in rows], dtype=float).reshape(len(rows), len(FEATURES)), np.array([r["y"] for r in rows], dtype=float)
-    out = np.array([r["mix"] % 5 == 0 for r in rows], dtype=bool)
-    model = fit(x[~out], y[~out], FEATURES, **options)
-    score = model.predict(x[out], FEATURES) if out.any() else np.zeros(0)
-    return model, {k: max(0.0, precise_threshold(score[x[out][:, 0] == i], y[out][x[out][:, 0] == i], precision)) if out.any() else float("inf") for i, k in enumerate(KINDS)}
+    c = c.withColumn("out", F.pmod(F.xxhash64(*FEATURES, "start", "text_hash"), F.lit(5)) == 0)
+    cuts = table_cuts(c, FEATURES, "out", bins)
+    cuts[0] = np.arange(len(KINDS), dtype=float)  # each kind is a bin, however rare, for thresholds are by kind
+    counts = materialize(table_counts(c, FEATURES, cuts, ["out"], "rule"), "candidates")
+    model = fit_counts(counts.where(~F.col("out")), FEATURES, cuts, **options)
+    least = count_thresholds(counts.where("out"), model, "kind", precision)
+    discard(counts)
+    return model, {k: max(0.0, least.get(float(i), float("inf"))) for i, k in enumerate(KINDS)}
 
 
 def selected(tries: Column, taken: Column, model: Boosted, threshold: float) -> Column:
@@ -244,8 +244,8 @@ def find_personal_data(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     """(doc_id, base_<kind>, more_<kind>) for each input row and kind: arrays of (start, end), ascending.
 
     Plan: one narrow pass over the texts makes base spans and candidates; without the texts they go to the shared
-    folder. The selector is fitted on a bounded sample of them and applied, as an expression, to all. No shuffle but
-    that of the sample.
+    folder. The selector is fitted on all of them, by counts and sums, and applied, as an expression, to all. No shuffle
+    but those of the counts and sums.
 
     Defined cases: null text is empty and has no spans; null and repeated identifiers make no difference; texts of
     any length are searched whole, in linear time; an empty table gives no rows; where nothing can be learned (no

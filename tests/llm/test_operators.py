@@ -577,6 +577,30 @@ def test_boosting():
     assert boosting.precise_threshold(np.array([1.0]), np.array([0.0]), 0.99) == float("inf")
 
 
+def test_selector_is_fitted_on_all_candidates(spark):
+    """More candidates than a driver's sample held: model and thresholds are those of all of them."""
+    n = 30_000
+    f = {x: F.lit(0.0) for x in pii.FEATURES} | {"kind": (F.col("id") % 4).cast("double"), "length": (F.xxhash64("id") % 50).cast("double"), "digits": (F.abs(F.xxhash64(F.col("id") + 1)) % 17).cast("double")}
+    rule = (F.col("length") > 3) & (F.col("digits") < 9) & (F.xxhash64("id", F.lit(7)) % 50 != 0) | (F.col("kind") == 2) & (F.col("digits") > 14)
+    c = spark.range(n).select("id", *[v.alias(k) for k, v in f.items()]).select("*", rule.alias("rule"))
+    one = F.array(F.struct(F.col("id").cast("int").alias("start"), F.lit(0).alias("end"), "rule", *pii.FEATURES))
+    none = F.filter(one, lambda x: F.lit(False))
+    tables = c.select(*[(F.when(F.col("kind") == i, one).otherwise(none)).alias(f"try_{k}") for i, k in enumerate(pii.KINDS)], *[none.alias(f"like_{k}") for k in pii.KINDS], F.col("id").alias("text_hash"))
+    rows = c.select("*", (F.pmod(F.xxhash64(*pii.FEATURES, F.col("id").cast("int"), "id"), F.lit(5)) == 0).alias("out")).toPandas()
+    model, least = pii.fit_selector(tables, rounds=5, precision=0.9)
+    x, y, out = rows[pii.FEATURES].to_numpy(float), rows["rule"].to_numpy(float), rows["out"].to_numpy(bool)
+    want = boosting.fit(x[~out], y[~out], pii.FEATURES, rounds=5)
+    flat = lambda t: [(t.feature, t.threshold, round(t.value, 6) if t.feature is None else 0)] + (flat(t.left) + flat(t.right) if t.feature else [])
+    assert model.base == want.base and list(map(flat, model.trees)) == list(map(flat, want.trees)) and len(want.trees) == 5
+    score = want.predict(x[out], pii.FEATURES)
+    for i, k in enumerate(pii.KINDS):
+        of = x[out][:, 0] == i
+        assert least[k] == pytest.approx(max(0.0, boosting.precise_threshold(score[of], y[out][of], 0.9)), abs=1e-6)
+    tree = boosting.Node(feature="x", threshold=1.0, left=boosting.Node(2.0), right=boosting.Node(feature="x", threshold=2.0, left=boosting.Node(1.0), right=boosting.Node(-1.0)))
+    counts = spark.createDataFrame([(0.0, 0.0, 10, 10), (0.0, 1.5, 5, 4), (0.0, 1.6, 5, 5), (0.0, 3.0, 5, 0), (1.0, 0.0, 10, 5)], "kind double, x double, _n long, _positive long")
+    assert boosting.count_thresholds(counts, boosting.Boosted(0.5, [tree]), "kind", 0.9) == {0.0: 1.5}
+
+
 # Exact copies
 
 
