@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,6 +50,23 @@ def delete_folder(spark: SparkSession, *folders: str) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+def released(kernel: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The kernel; at its end the worker, which Spark keeps for further tasks, gives free memory back to the system."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from kernel(batches)
+        pa.default_memory_pool().release_unused()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc has it
+            trim(0)
+
+    return run
+
+
+def strings(spark: SparkSession, column: str, values: list[str]) -> DataFrame:
+    """A table of one column from the driver's values. Arrow makes it a local relation, which starts no Python workers of its own."""
+    return spark.createDataFrame(pa.table({column: pa.array(values, type=pa.string())}))
+
+
 def named(column: str, prefix: str = "") -> Column:
     """A column by its name, whatever characters are in it."""
     quoted = column.replace("`", "``")

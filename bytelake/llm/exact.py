@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from bytelake.llm.common import fold_ascii, named, text_or_empty
+from bytelake.llm.common import fold_ascii, named, strings, text_or_empty
 
 
 def content_sort_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", keep: str = "min", carry: list[str] | None = None, block_rows: int = 1000) -> DataFrame:
@@ -35,7 +35,7 @@ def content_sort_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     least = max(block_rows, docs.count() // 10_000)
     many = rows.groupBy("text_sha256").agg(F.count("*").alias("n")).where(F.col("n") > least).select("text_sha256")
     many = [r[0] for r in many.collect()]  # at most 10,000
-    listed = F.broadcast(docs.sparkSession.createDataFrame([(x,) for x in many], "text_sha256 string"))
+    listed = F.broadcast(strings(docs.sparkSession, "text_sha256", many))
     copies = rows.join(listed, "text_sha256").groupBy("text_sha256", fold_ascii(F.col("text")).alias("norm")).agg(F.count("*").alias("hot_size"), best("doc_id").alias("hot_keep"))
     # Of different texts with one digest, none is hot here: their rows go without salt.
     hot = copies.withColumn("texts", F.count("*").over(Window.partitionBy("text_sha256"))).where("texts = 1").select("text_sha256", "hot_size", "hot_keep")

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bytelake.llm.common import discard, materialize
+from bytelake.llm.common import discard, materialize, released
 from bytelake.llm.components import extended
 
 #: Stands for a null identifier: the largest.
@@ -122,7 +122,7 @@ def frequent_tokens(docs: DataFrame, k: int, most: int) -> list[tuple[int, int]]
         kept = [(t, n) for t, n in tally.items() if n >= 3]
         yield pa.RecordBatch.from_arrays([pa.array(np.array([t for t, _ in kept], dtype=np.uint64).view(np.int64)), pa.array([n for _, n in kept], type=pa.int64())], names=["token", "n"])
 
-    counted = docs.select("text").mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    counted = docs.select("text").mapInArrow(released(count), "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
     top = counted.where("n >= 8").orderBy(F.desc("n"), "token").limit(most).collect()
     return [(r["token"], r["n"]) for r in reversed(top)]
 
@@ -170,7 +170,7 @@ def prefixes(docs: DataFrame, k: int, frequent: list[tuple[int, int]], hot_rows:
                 bits.append(bitmap(t) if new else None)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, type=pa.int32()), pa.array(key, type=pa.int64()), lists(prefix), pa.array(bits, type=pa.binary())], names=["doc_id", "n", "key", "prefix", "bits"])
 
-    return docs.select("doc_id", "text").mapInArrow(make, "doc_id long, n int, key long, prefix array<long>, bits binary")
+    return docs.select("doc_id", "text").mapInArrow(released(make), "doc_id long, n int, key long, prefix array<long>, bits binary")
 
 
 def lists(arrays: list[np.ndarray]) -> pa.ListArray:
@@ -206,7 +206,7 @@ def verified(pairs: DataFrame, texts: DataFrame, k: int) -> DataFrame:
             good = [i for i in range(b.num_rows) if alike(tokens(left[i], b.column(2), i), tokens(right[i], b.column(3), i))]
             yield pa.RecordBatch.from_arrays([pa.array([left[i] for i in good], type=pa.int64()), pa.array([right[i] for i in good], type=pa.int64())], names=["a", "b"])
 
-    return sided.select("a", "b", "text_a", "text_b").mapInArrow(test, "a long, b long")
+    return sided.select("a", "b", "text_a", "text_b").mapInArrow(released(test), "a long, b long")
 
 
 def texts_for(pairs: DataFrame, docs: DataFrame, reps: DataFrame, k: int, small: int = 200_000) -> DataFrame:
@@ -220,7 +220,7 @@ def texts_for(pairs: DataFrame, docs: DataFrame, reps: DataFrame, k: int, small:
         for b in batches:
             yield b.filter(pa.array([set_key(shingler.tokens(x)) == key for key, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)], type=pa.bool_()))
 
-    texts = materialize(docs.join(ids, "doc_id").select("key", "text").mapInArrow(own, "key long, text string").dropDuplicates(["key"]), "texts")
+    texts = materialize(docs.join(ids, "doc_id").select("key", "text").mapInArrow(released(own), "key long, text string").dropDuplicates(["key"]), "texts")
     discard(names)
     return texts
 
@@ -400,7 +400,7 @@ def proposed(members: DataFrame, most: int) -> DataFrame:
             yield batch()
 
     dealt = members.select(*GROUP, "key", "n", "label", "bits").repartition(*GROUP).sortWithinPartitions(*GROUP)
-    return dealt.mapInArrow(search, "a long, b long, more boolean").distinct()
+    return dealt.mapInArrow(released(search), "a long, b long, more boolean").distinct()
 
 
 def in_parts(key: str, parts: F.Column) -> F.Column:

@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bytelake.llm.common import materialize
+from bytelake.llm.common import materialize, released
 
 #: How byte-level BPE splits a text before merging, and the one special string of the vocabulary.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -216,7 +216,7 @@ def pack_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
         if out:
             yield batch_of(out)
 
-    pieces = materialize(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(pack, SCHEMA), "pieces")
+    pieces = materialize(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(released(pack), SCHEMA), "pieces")
     left = pieces.where("sequence_id < 0").select(F.expr(f"(-1 - sequence_id) div {pool}").alias("pool"), "doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
-    pooled = left.repartition("pool").sortWithinPartitions("pool", F.desc("sequence_id"), "offset").mapInArrow(pack_pools, SCHEMA)
+    pooled = left.repartition("pool").sortWithinPartitions("pool", F.desc("sequence_id"), "offset").mapInArrow(released(pack_pools), SCHEMA)
     return pieces.where("sequence_id >= 0").unionByName(pooled)

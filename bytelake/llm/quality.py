@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
-from bytelake.llm.common import named
+from bytelake.llm.common import named, released
 
 #: A chunk is 4 cells of 128 bytes and shares one with the next; filters look at 8 bytes, at every second byte.
 CELL, CELLS, STEP, WIDTH, STRIDE = 128, 4, 3, 8, 2
@@ -54,7 +54,7 @@ class Network:
         z = np.clip(d @ self.p["out"] + self.p["out_bias"], -30, 30)
         return 1 / (1 + np.exp(-z.astype(np.float64)))
 
-    def score(self, texts: list[bytes], step: int = 1 << 18) -> np.ndarray:
+    def score(self, texts: list[bytes], step: int = 1 << 15) -> np.ndarray:
         """Probability of label 1 of every whole text, each padded and with an empty cell after it, so no filter sees another text.
 
         Memory: the responses to ``step`` bytes at a time and one row a cell.
@@ -185,30 +185,29 @@ def score_quality(docs: DataFrame, net: Network, *, id_col: str = "doc_id", text
     """(doc_id, held_out, score, predicted) of every row by its whole text, with ``carry`` a struct ``row`` of those columns.
 
     Narrow: no shuffle, nothing but the text is looked at. Null texts are empty; an empty text has the score of a
-    chunk of padding; null or repeated identifiers make no difference; an empty table gives no rows.
+    chunk of padding; null or repeated identifiers make no difference; an empty table gives no rows. A text that is
+    carried goes to the worker once, inside ``row``, and rows come back in batches of about 1 MB of text.
     """
     p, kept = net.p, carry or []
+    inside = kept.index(text_col) if text_col in kept else None
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Network(p)
         for b in batches:
-            scores: list[float] = []
+            at, size = 0, 0
             group: list[bytes] = []
-            size = 0
-            for t in b.column(1):
+            for t in b.column(1) if inside is None else b.column(1).field(inside):
                 group.append((t.as_py() or "").encode())
                 size += len(group[-1]) + CELL
-                if size > 1 << 22:
-                    scores += model.score(group).tolist()
-                    group, size = [], 0
-            if group:
-                scores += model.score(group).tolist()
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scores, type=pa.float64()), *[b.column(2 + k) for k in range(bool(kept))]], names=["doc_id", "score", *["row"] * bool(kept)])
+                if size > 1 << 20 or at + len(group) == b.num_rows:
+                    part = b.slice(at, len(group))
+                    yield pa.RecordBatch.from_arrays([part.column(0), pa.array(model.score(group), type=pa.float64()), *[part.column(b.num_columns - 1)] * bool(kept)], names=["doc_id", "score", *["row"] * bool(kept)])
+                    at, size, group = at + len(group), 0, []
 
     row = F.struct(*[named(c) for c in kept]).alias("row")
-    given = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *[row] * bool(kept))
+    given = docs.select(F.col(id_col).cast("long").alias("doc_id"), *[F.col(text_col).alias("text")] * (inside is None), *[row] * bool(kept))
     schema = StructType([StructField("doc_id", LongType()), StructField("score", DoubleType()), *([given.schema["row"]] if kept else [])])
-    out = given.mapInArrow(score, schema)
+    out = given.mapInArrow(released(score), schema)
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), *["row"] * bool(kept))
 
 

@@ -9,6 +9,7 @@ import math
 import random
 import re
 import time
+import tracemalloc
 import uuid
 import zlib
 
@@ -18,6 +19,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from bytelake.llm import boosting, chat, exact, fingerprint, jaccard, mixing, packing, pii, quality, sharding, warc
+from bytelake.llm.common import released, strings
 from bytelake.llm.components import components, extended
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, kept boolean, size long, row string, key string, n long, score double, salt int, `odd name.x` int"
@@ -142,6 +144,51 @@ def test_quality(spark, docs, none):
         assert len({r.score for r in quality.score_quality(docs, quality.fit_quality(d, l)).collect()}) == 1
 
 
+def test_quality_memory(spark):
+    """Temporary arrays are small beside the texts; a carried text goes to the worker once; answers come in bounded batches."""
+    net, texts = quality.Network.fresh(8, 32, 24, np.random.default_rng(1)), [b"some words " * 10_000] * 10
+    tracemalloc.start()
+    net.score(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 16_000_000
+    docs = spark.createDataFrame([(i, None if i % 7 == 0 else "word " * i) for i in range(300)], "doc_id long, text string").coalesce(1)
+    got = quality.score_quality(docs, net, carry=docs.columns)
+    sent = re.search(r"MapInArrow.*?\n.*?Project \[(.*)\]", got._jdf.queryExecution().analyzed().toString())[1]
+    assert len(re.findall(r"\btext#", sent)) == 1
+    plain = {r.doc_id: r.score for r in quality.score_quality(docs, net).collect()}
+    rows = got.collect()
+    assert [(r.row.doc_id, r.row.text) for r in rows] == [(r.doc_id, r.text) for r in docs.collect()]
+    assert all(r.doc_id == r.row.doc_id and abs(r.score - plain[r.doc_id]) < 1e-6 for r in rows)
+
+
+def test_driver_lists_start_no_python_workers(spark):
+    for values in ([], ["a", "b"]):
+        made = strings(spark, "x", values)
+        assert [r.x for r in made.collect()] == values
+        assert "LogicalRDD" not in made._jdf.queryExecution().logical().toString()
+    docs = spark.createDataFrame(pa.table({"doc_id": [1, 2], "text": ["a", "A"]}))
+    assert "ExistingRDD" not in exact.content_sort_dedup(docs)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_released_kernels_give_memory_back():
+    def anonymous():
+        with open("/proc/self/smaps_rollup") as f:
+            return sum(map(int, re.findall(r"Pss_Anon:\s+(\d+)", f.read()))) // 1024
+
+    def kernel(batches):
+        for b in batches:
+            held = [np.ones(12_500) for _ in range(1000)]  # 100 MB in pieces that malloc keeps
+            yield b
+            del held[:-1]
+            last.append(held.pop())
+
+    last = []
+    before = anonymous()
+    assert list(released(kernel)(iter([1, 2]))) == [1, 2]
+    assert anonymous() - before < 50
+
+
 def test_quality_sees_the_whole_text():
     net = quality.Network.fresh(8, 8, 8, np.random.default_rng(1))
     a = b"same words " * 5000
