@@ -50,6 +50,14 @@ def delete_folder(spark: SparkSession, *folders: str) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+def make_folder(spark: SparkSession, *folders: str) -> None:
+    """Make folders that aren't there yet, on whatever file system they are."""
+    conf = spark._jsparkSession.sessionState().newHadoopConf()
+    for folder in folders:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(conf).mkdirs(path)
+
+
 def released(kernel: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """The kernel; at its end the worker, which Spark keeps for further tasks, gives free memory back to the system."""
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bytelake.llm import chat, exact, fingerprint, jaccard, mixing, packing, pii, quality, sharding, warc
-from bytelake.llm.common import delete_folder, shared_dir
+from bytelake.llm.common import delete_folder, materialize, shared_dir
 
 UP, LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -62,18 +62,15 @@ FROM c
 
 def op4_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Writes all pages and a replica with known damage (by id, some records altered, lost or added) as WARC files and audits these."""
-    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
-    altered = pages.where("page_id % 101 <> 7").withColumn("html", F.when(F.col("page_id") % 97 == 13, F.concat(F.lit("?"), F.col("html"))).otherwise(F.col("html")))
-    added = pages.where("page_id % 103 = 5").withColumn("page_id", -F.col("page_id"))
-    digests, folders = [], []
-    for replica in (pages, altered.unionByName(added)):
-        folders.append(f"{shared_dir(spark)}/bytelake-{uuid.uuid4().hex}")
-        warc.write_warc(warc.warc_records(replica), f"{folders[-1]}/warc")
-        digests.append(warc.read_digests(spark, f"{folders[-1]}/warc"))
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html", F.lit(False).alias("added"))
+    added = pages.where("page_id % 103 = 5").withColumns({"page_id": -F.col("page_id"), "added": F.lit(True)})
+    altered = F.when(~F.col("added") & (F.col("page_id") % 97 == 13), F.concat(F.lit("?"), F.col("html"))).otherwise(F.col("html"))
+    replicas = [(~F.col("added"), F.col("html")), (F.col("added") | (F.col("page_id") % 101 != 7), altered)]
+    folder = f"{shared_dir(spark)}/bytelake-{uuid.uuid4().hex}"
+    digests = [materialize(warc.read_digests(spark, f), "read") for f in warc.write_replicas(pages.unionByName(added), f"{folder}/warc", replicas)]
+    delete_folder(spark, folder)  # before the audit shuffles anything; it reads no file again
     number = lambda c, pattern: F.regexp_extract(c, pattern, 1).try_cast("long")
-    found = warc.fixity_audit(*digests).withColumn("page_id", number("id", "^<urn:page:(.*)>$")).withColumn("file", number("file", "^file=(.*)$")).drop("id")
-    delete_folder(spark, *folders)  # the audit has written all digests, and reads no file again
-    return found
+    return warc.fixity_audit(*digests).withColumn("page_id", number("id", "^<urn:page:(.*)>$")).withColumn("file", number("file", "^file=(.*)$")).drop("id")
 
 
 OP4_SQL = r"""

@@ -4,21 +4,21 @@ from __future__ import annotations
 
 import hashlib
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from bytelake.llm.common import materialize
+from bytelake.llm.common import make_folder, materialize, named
 
 CRLF = "\r\n"
 SCHEMA = "file string, record_id string, uri string, kind string, date string, offset long, length long, sha string, payload binary"
 TYPES = (pa.string(),) * 5 + (pa.int64(),) * 2 + (pa.string(), pa.binary())
 
 
-def warc_records(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", body_col: str = "html", date: str = "1970-01-01T00:00:00Z", per_file: int = 4096) -> DataFrame:
-    """(id, file, length, record): a WARC/1.1 resource record for each page.
+def warc_records(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", body_col: str = "html", date: str = "1970-01-01T00:00:00Z", per_file: int = 4096, carry: Sequence[str] = ()) -> DataFrame:
+    """(id, file, length, record, and the columns of carry): a WARC/1.1 resource record for each page.
 
     Pages lie by id in files of ``per_file`` consecutive ids, so a lost page shifts the rest of its own file only. Null
     url and body are empty; pages without an id lie in the file of none. Line ends in a url become spaces, lest they end
@@ -29,15 +29,36 @@ def warc_records(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "u
         F.lit(f"WARC/1.1{CRLF}WARC-Type: resource{CRLF}WARC-Record-ID: <urn:page:"), F.coalesce(F.col(id_col).cast("string"), F.lit("none")), F.lit(f">{CRLF}WARC-Date: {date}{CRLF}WARC-Target-URI: "), url,
         F.lit(f"{CRLF}Content-Type: text/html{CRLF}Content-Length: "), F.octet_length(body).cast("string"), F.lit(CRLF * 2),
     )
-    rows = pages.select(F.col(id_col).cast("long").alias("id"), F.concat(head, body, F.lit(CRLF * 2)).alias("record")).withColumn("length", F.octet_length("record").cast("long"))
-    rows = rows.withColumn("file", F.expr(f"(id - pmod(id, {per_file}L)) div {per_file}L"))
-    return rows.select("id", "file", "length", "record")
+    rows = pages.select(F.col(id_col).cast("long").alias("id"), F.concat(head, body, F.lit(CRLF * 2)).alias("record"), *carry).withColumn("length", F.octet_length("record").cast("long"))
+    return rows.withColumn("file", floor_div(F.col("id"), per_file)).select("id", "file", "length", "record", *carry)
 
 
 def write_warc(records: DataFrame, path: str) -> None:
     """Writes records in order of id, then bytes, a gzip file below path/file=N for each ``file``; line ends are part of the records."""
-    ordered = records.repartition("file").sortWithinPartitions("file", "id", "record")
-    ordered.select("file", F.substring("record", F.lit(1), F.length("record") - 2).alias("value")).write.partitionBy("file").option("lineSep", CRLF).option("compression", "gzip").text(path)
+    write_gathered(records.repartition("file"), path, "file")
+
+
+def write_replicas(pages: DataFrame, path: str, replicas: Sequence[tuple[F.Column, F.Column]], *, id_col: str = "page_id", body_col: str = "html", per_file: int = 4096, **options: str) -> list[str]:
+    """Folders path/replica=0, 1, ... with the files that write_warc would write for each replica of pages.
+
+    A replica is a condition, which rows of pages it has, and the body of these rows; both may use any column of pages
+    but one named replica. Pages are shuffled once, however many replicas there are: these are made where a file's pages
+    have met, so disk holds one copy of them in the shuffle besides the files. options are those of warc_records.
+    """
+    met = pages.repartition(floor_div(named(id_col).cast("long"), per_file))
+    copies = met.withColumn("replica", F.explode(F.sequence(F.lit(0), F.lit(len(replicas) - 1))))
+    of = lambda columns: F.coalesce(*[F.when(F.col("replica") == i, c) for i, c in enumerate(columns)])
+    copies = copies.where(of([held for held, _ in replicas])).withColumn(body_col, of([body for _, body in replicas]))
+    write_gathered(warc_records(copies, id_col=id_col, body_col=body_col, per_file=per_file, carry=["replica"], **options), path, "replica", "file")
+    folders = [f"{path}/replica={i}" for i in range(len(replicas))]
+    make_folder(pages.sparkSession, *folders)  # a replica without rows has none yet
+    return folders
+
+
+def write_gathered(records: DataFrame, path: str, *folders: str) -> None:
+    """Writes records, those of a file in one partition, by the columns folders; these are no strings, for which Spark would sort again."""
+    ordered = records.sortWithinPartitions(*folders, "id", "record")
+    ordered.select(*folders, F.substring("record", F.lit(1), F.length("record") - 2).alias("value")).write.partitionBy(*folders).option("lineSep", CRLF).option("compression", "gzip").text(path)
 
 
 def read_warc(spark: SparkSession, path: str, *, payload: bool = True) -> DataFrame:
@@ -155,13 +176,13 @@ def merkle_levels(digests: DataFrame, top: int, fan: int) -> list[DataFrame]:
     while top:
         top //= fan
         below = levels[-1]
-        levels.append(materialize(below.groupBy(parent(fan).alias("up")).agg(node(F.col("node").alias("k"), F.col("sha")).alias("sha")).withColumnRenamed("up", "node"), "level"))
+        levels.append(materialize(below.groupBy(floor_div(F.col("node"), fan).alias("up")).agg(node(F.col("node").alias("k"), F.col("sha")).alias("sha")).withColumnRenamed("up", "node"), "level"))
     return levels
 
 
-def parent(fan: int) -> F.Column:
-    """Floor of node / fan, exact for all longs."""
-    return F.expr(f"(node - pmod(node, {fan}L)) div {fan}L")
+def floor_div(number: F.Column, of: int) -> F.Column:
+    """Floor of number / of, exact for all longs."""
+    return F.call_function("div", number - F.pmod(number, F.lit(of).cast("long")), F.lit(of).cast("long"))
 
 
 def file_ranks(files: DataFrame) -> tuple[DataFrame, int]:
@@ -202,7 +223,7 @@ def fixity_audit(left: DataFrame, right: DataFrame, *, fan: int = 16, span: int
     open_nodes: DataFrame | None = None
     for x, y in reversed(trees):
         if open_nodes is not None:
-            x, y = (t.withColumn("up", parent(fan)).join(open_nodes, "up", "left_semi") for t in (x, y))
+            x, y = (t.withColumn("up", floor_div(F.col("node"), fan)).join(open_nodes, "up", "left_semi") for t in (x, y))
         differ = x.select("node", F.col("sha").alias("l")).join(y.select("node", F.col("sha").alias("r")), "node", "full_outer").where("NOT l <=> r")
         open_nodes = materialize(differ.select(F.col("node").alias("up")), "open")
         if not open_nodes.take(1):

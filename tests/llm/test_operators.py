@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import base64
 import collections
 import gzip
 import hashlib
@@ -21,6 +22,7 @@ from pyspark.sql import functions as F
 from bytelake.llm import boosting, chat, exact, fingerprint, jaccard, mixing, packing, pii, quality, sharding, warc
 from bytelake.llm.common import released, strings
 from bytelake.llm.components import components, extended
+from bytelake.llm.queries import queries
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, kept boolean, size long, row string, key string, n long, score double, salt int, `odd name.x` int"
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon".split()
@@ -325,6 +327,37 @@ def test_warc(spark, tmp_path):
     assert {r.kind for r in back} == {"resource"}
 
 
+def test_replicas_are_written_from_one_shuffle_of_the_pages(spark, tmp_path):
+    rng = random.Random(3)
+    rows = [(i, f"http://x/{i}", base64.b64encode(rng.randbytes(1500)).decode(), i % 3 == 0) for i in range(-4100, 4200, 5)] + [(None, None, None, False), (6, "u", None, True), (6, None, "é", False)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, extra boolean").repartition(3)
+    sides = [(~F.col("extra"), F.col("html")), (F.col("page_id") % 7 != 0, F.concat(F.lit("?"), F.col("html"))), (F.lit(False), F.col("html"))]
+
+    def inflated(folder):
+        names = sorted(p for p in folder.rglob("part-*.gz"))
+        assert len({p.parent for p in names}) == len(names)  # one file in a folder
+        return {p.parent.name: gzip.decompress(p.read_bytes()) for p in names}
+
+    folders = warc.write_replicas(pages, str(tmp_path / "all"), sides)
+    for i, (held, body) in enumerate(sides):
+        warc.write_warc(warc.warc_records(pages.where(held).withColumn("html", body)), str(tmp_path / f"one{i}"))
+        assert inflated(tmp_path / "all" / f"replica={i}") == inflated(tmp_path / f"one{i}")
+        assert warc.read_digests(spark, folders[i]).count() == pages.where(held).count()
+    assert sum(map(len, inflated(tmp_path / "one0").values())) > 1_500_000
+
+    pages.drop("extra").where("page_id > 0").write.parquet(str(tmp_path / "pages.parquet"))
+    sc = spark.sparkContext._jsc.sc()
+
+    def shuffled():
+        sc.listenerBus().waitUntilEmpty()
+        return sc.statusStore().executorList(False).head().totalShuffleWrite()
+
+    before = shuffled()
+    assert queries()["op4_fixity"](spark, str(tmp_path)).count()
+    written = shuffled() - before
+    assert written < 1.6 * sum(p.stat().st_size for p in (tmp_path / "pages.parquet").glob("part-*"))
+
+
 def test_damage_between_and_order_of_records(spark, tmp_path):
     one, two, three = (f"WARC/1.1\r\nWARC-Record-ID: <{i}>\r\nContent-Length: 3\r\n\r\nab{i}\r\n\r\n".encode() for i in range(3))
     files = {"a": one + two + three, "b": one + b"junk" + two + three, "c": one + three + two, "d": gzip.compress(one) + gzip.compress(two) + gzip.compress(three)}
